@@ -47,16 +47,17 @@ def display_name(full_name: Column, name: Column, email: Column, role: Column) -
 
 def resolve_users(users: DataFrame, profiles: DataFrame) -> DataFrame:
     """Signed-in users with the profile's name and role winning over the token's."""
-    p = profiles.select("user_no", F.col("full_name").alias("p_name"), F.col("role").alias("p_role"))
-    role = F.coalesce("p_role", "raw_role", F.lit("inspector"))
-    # a profile row wins even with an empty name, as long as it exists
+    p = profiles.select(
+        "user_no", F.col("full_name").alias("p_name"), F.col("role").alias("p_role"), F.lit(True).alias("stored")
+    )
+    # a stored profile wins even where it is null
+    role = F.when(F.col("stored"), F.col("p_role")).otherwise(F.coalesce("raw_role", F.lit("inspector")))
     return users.join(p, "user_no", "left").select(
         "user_no",
         "email",
-        F.coalesce(
-            F.when(F.col("p_role").isNotNull(), F.col("p_name")).otherwise(F.col("full_name")),
-            F.lit(V.DEFAULT_INSPECTOR),
-        ).alias("full_name"),
+        F.when(F.col("stored"), F.col("p_name"))
+        .otherwise(F.coalesce("full_name", F.lit(V.DEFAULT_INSPECTOR)))
+        .alias("full_name"),
         F.when(role.isin(V.KNOWN_ROLES), role).otherwise("inspector").alias("role"),
     )
 

@@ -23,7 +23,10 @@ def recover(panels: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame
     """First-pass tokens, merged with the second pass on the panels that need it."""
     flagged = token_ops.needs_recovery(panels, first).where("needs_recovery").select(*KEYS)
     again = second.join(flagged, KEYS, "left_semi")
-    return token_ops.merge_passes(first, again)
+    merged = token_ops.merge_passes(first, again)
+    # one sequence number in the order of the merged set: kept places first, then added tokens
+    place = F.col("source").cast("long") * F.lit(1 << 32) + F.col("seq")
+    return merged.withColumn("seq", place).drop("source")
 
 
 def missing_critical() -> Column:

@@ -33,3 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     return tempfile.mkdtemp(prefix="packwise-")
+
+
+def tune(spark: SparkSession) -> None:
+    """Settings that may be changed on a running session.
+
+    The JVM never compiles methods above 8000 bytes; with this limit Spark uses split methods for
+    wide projections instead of one huge interpreted one.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
