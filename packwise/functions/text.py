@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -103,6 +104,11 @@ def fill(template: str, *values: Column) -> Column:
     return F.concat(*out)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it in `body`; expressions have no other way to name a value."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def words_of(col: Column) -> Column:
     """Whitespace-separated words without empty ones."""
     return F.regexp_extract_all(col, F.lit(r"(\S+)"), F.lit(1))

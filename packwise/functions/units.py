@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
-from .text import fixed, half_up_fixed2, match, rounded, strip
+from .text import fixed, half_up_fixed2, let, match, rounded, strip
 
 
 def standard_unit(unit: Column) -> Column:
@@ -24,12 +24,16 @@ def price_number(price: Column, pattern: str = V.PRICE_NUMBER) -> Column:
     return match(plain, pattern, 1).try_cast("double")
 
 
+def _parsed(price: Column, quantity: Column, price_pattern: str, quantity_pattern: str) -> Column:
+    return F.struct(
+        price_number(price, price_pattern).alias("p"),
+        match(quantity, quantity_pattern, 1).try_cast("double").alias("q"),
+        match(quantity, quantity_pattern, 2).alias("unit"),
+    )
+
+
 def suggested_unit_price(price: Column, quantity: Column) -> Column:
     """Statutory unit price as struct<primary, secondary, amount, unit>; null when it cannot be derived."""
-    p = price_number(price)
-    q = match(quantity, V.PRICED_QUANTITY, 1).try_cast("double")
-    unit = standard_unit(match(quantity, V.PRICED_QUANTITY, 2))
-    valid = (p > 0) & (q > 0)
 
     def row(amount: Column, per: Column, second: Column, second_per: Column) -> Column:
         return F.struct(
@@ -39,56 +43,65 @@ def suggested_unit_price(price: Column, quantity: Column) -> Column:
             per.alias("unit"),
         )
 
-    def small_or_large(small: str, large: str) -> Column:
-        hundred = (p / q) * 100.0
-        return F.when(
-            q <= 1000, row(hundred, F.lit(f"100 {small}"), fixed(p / q, 2), F.lit(small))
-        ).otherwise(
-            row(p / (q / 1000.0), F.lit(large), fixed(rounded((p / q) * 100, 2), 2), F.lit(f"100 {small}"))
+    def priced(p: Column, q: Column, unit: Column) -> Column:
+        def small_or_large(small: str, large: str) -> Column:
+            in_hundreds = row((p / q) * 100.0, F.lit(f"100 {small}"), fixed(p / q, 2), F.lit(small))
+            per_hundred = fixed(rounded((p / q) * 100, 2), 2)
+            in_thousands = row(p / (q / 1000.0), F.lit(large), per_hundred, F.lit(f"100 {small}"))
+            return F.when(q <= 1000, in_hundreds).otherwise(in_thousands)
+
+        def large_only(small: str, large: str) -> Column:
+            return row(p / q, F.lit(large), fixed((p / q) / 10.0, 2), F.lit(f"100 {small}"))
+
+        singular = F.when(
+            unit.endswith("s") & (F.length(unit) > 2), F.left(unit, F.length(unit) - 1)
+        ).otherwise(unit)
+        return (
+            F.when(unit == "ml", small_or_large("ml", "L"))
+            .when(unit == "L", large_only("ml", "L"))
+            .when(unit == "g", small_or_large("g", "kg"))
+            .when(unit == "kg", large_only("g", "kg"))
+            .when(unit.isin(V.COUNT_UNITS), row(p / q, singular, fixed(p / q, 2), F.lit("unit")))
         )
 
-    def large_only(small: str, large: str) -> Column:
-        return row(p / q, F.lit(large), fixed((p / q) / 10.0, 2), F.lit(f"100 {small}"))
-
-    singular = F.when(
-        unit.endswith("s") & (F.length(unit) > 2), F.left(unit, F.length(unit) - 1)
-    ).otherwise(unit)
-    return (
-        F.when(valid & (unit == "ml"), small_or_large("ml", "L"))
-        .when(valid & (unit == "L"), large_only("ml", "L"))
-        .when(valid & (unit == "g"), small_or_large("g", "kg"))
-        .when(valid & (unit == "kg"), large_only("g", "kg"))
-        .when(valid & unit.isin(V.COUNT_UNITS), row(p / q, singular, fixed(p / q, 2), F.lit("unit")))
+    return let(
+        _parsed(price, quantity, V.PRICE_NUMBER, V.PRICED_QUANTITY),
+        lambda v: F.when(
+            (v["p"] > 0) & (v["q"] > 0),
+            let(standard_unit(v["unit"]), lambda unit: priced(v["p"], v["q"], unit)),
+        ),
     )
 
 
 def client_unit_price(price: Column, quantity: Column) -> Column:
     """The client's variant: array of one or two texts, empty when it cannot be derived."""
-    p = price_number(price, V.CLIENT_PRICE_NUMBER)
-    q = match(quantity, V.CLIENT_PRICED_QUANTITY, 1).try_cast("double")
-    unit = F.lower(match(quantity, V.CLIENT_PRICED_QUANTITY, 2))
-    valid = (p > 0) & (q > 0)
 
     def text(amount: Column, per: str) -> Column:
-        return F.concat(F.lit("₹ "), half_up_fixed2(amount), F.lit(f" / {per}"))
+        return F.concat(F.lit("₹ "), let(amount, half_up_fixed2), F.lit(f" / {per}"))
 
-    ml = F.when(q < 1000, F.array(text((p / q) * 100, "100 ml"), text(p / q, "ml"))).otherwise(
-        F.array(text(p / (q / 1000), "L"), text((p / q) * 100, "100 ml"))
-    )
-    gram = F.when(q < 1000, F.array(text((p / q) * 100, "100 g"), text(p / q, "g"))).otherwise(
-        F.array(text(p / (q / 1000), "kg"))
-    )
-    return (
-        F.when(valid & unit.isin("ml", "millilitre", "millilitres"), ml)
-        .when(
-            valid & unit.isin("l", "ltr", "litre", "litres", "liter"),
-            F.array(text(p / q, "L"), text(p / q / 10, "100 ml")),
+    def priced(p: Column, q: Column, unit: Column) -> Column:
+        ml = F.when(q < 1000, F.array(text((p / q) * 100, "100 ml"), text(p / q, "ml"))).otherwise(
+            F.array(text(p / (q / 1000), "L"), text((p / q) * 100, "100 ml"))
+        )
+        gram = F.when(q < 1000, F.array(text((p / q) * 100, "100 g"), text(p / q, "g"))).otherwise(
+            F.array(text(p / (q / 1000), "kg"))
         )
-        .when(valid & unit.isin("g", "gm", "gram", "grams"), gram)
-        .when(valid & unit.isin("kg", "kilogram"), F.array(text(p / q, "kg")))
-        .when(valid & unit.isin("units", "unit", "pcs", "nos"), F.array(text(p / q, "unit")))
-        .otherwise(F.array().cast("array<string>"))
+        return (
+            F.when(unit.isin("ml", "millilitre", "millilitres"), ml)
+            .when(
+                unit.isin("l", "ltr", "litre", "litres", "liter"),
+                F.array(text(p / q, "L"), text(p / q / 10, "100 ml")),
+            )
+            .when(unit.isin("g", "gm", "gram", "grams"), gram)
+            .when(unit.isin("kg", "kilogram"), F.array(text(p / q, "kg")))
+            .when(unit.isin("units", "unit", "pcs", "nos"), F.array(text(p / q, "unit")))
+        )
+
+    prices = let(
+        _parsed(price, quantity, V.CLIENT_PRICE_NUMBER, V.CLIENT_PRICED_QUANTITY),
+        lambda v: F.when((v["p"] > 0) & (v["q"] > 0), priced(v["p"], v["q"], F.lower(v["unit"]))),
     )
+    return F.coalesce(prices, F.array().cast("array<string>"))
 
 
 def with_calculated_unit_price(unit_price: Column, price: Column, quantity: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import nfkc, rounded, strip
+from ..functions.text import let, nfkc, rounded, strip
 
 KEYS = ["insp_no", "panel_no"]
 MARK = "\u0001"
@@ -135,11 +135,6 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when((inter == 0) | (union <= 0), F.lit(0.0)).otherwise(inter / union)
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it in `body` (lambda bodies have no other way to name a value)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 TOKEN = ["text", "confidence", "x_min", "y_min", "x_max", "y_max"]
 
 

@@ -115,7 +115,7 @@ SELECT o_orderkey AS insp_no, o_custkey AS user_no, o_orderdate AS created_at,
     WHEN 4 THEN 'Top of panel' WHEN 5 THEN '' END AS placement,
   CASE WHEN k % 13 = 0 THEN NULL ELSE CAST(k % 101 AS DOUBLE) / 100 END AS token_confidence,
   CAST(k % 17 AS INT) AS token_count
-FROM (SELECT *, o_orderkey AS k, o_custkey AS c, o_orderkey * 31 + o_custkey * 7 + CAST(o_totalprice AS BIGINT) AS m FROM {orders})
+FROM (SELECT *, o_orderkey AS k, o_custkey AS c, o_orderkey * 31 + o_custkey * 7 + CAST(floor(o_totalprice) AS BIGINT) AS m FROM {orders})
 """
 
 PROFILES = """
