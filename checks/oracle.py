@@ -534,10 +534,10 @@ def define_lines(p: str, source: str, more: str = "") -> None:
 SELECT insp_no, panel_no{more}, 0 AS i, CAST([] AS STRUCT(lo INT, hi INT)[]) AS groups, CAST([] AS BIGINT[]) AS member, todo FROM {p}_todo
 UNION ALL
 SELECT insp_no, panel_no{more}, i + 1,
-  CASE WHEN at = 0 THEN list_append(groups, {{'lo': CAST(t.y1 AS INT), 'hi': CAST(t.y2 AS INT)}})
-    ELSE list_transform(groups, lambda g, j: CASE WHEN j = at THEN {{'lo': least(g.lo, t.y1), 'hi': greatest(g.hi, t.y2)}} ELSE g END) END,
-  list_append(member, CASE WHEN at = 0 THEN CAST(len(groups) + 1 AS BIGINT) ELSE CAST(at AS BIGINT) END), todo
-FROM (SELECT *, coalesce(list_position(list_transform(groups, lambda g: {fits}), true), 0) AS at
+  CASE WHEN spot = 0 THEN list_append(groups, {{'lo': CAST(t.y1 AS INT), 'hi': CAST(t.y2 AS INT)}})
+    ELSE list_transform(groups, lambda g, j: CASE WHEN j = spot THEN {{'lo': least(g.lo, t.y1), 'hi': greatest(g.hi, t.y2)}} ELSE g END) END,
+  list_append(member, CASE WHEN spot = 0 THEN CAST(len(groups) + 1 AS BIGINT) ELSE CAST(spot AS BIGINT) END), todo
+FROM (SELECT *, coalesce(list_position(list_transform(groups, lambda g: {fits}), true)  , 0) AS spot
   FROM (SELECT *, todo[i + 1] AS t FROM {p}_rows WHERE i < len(todo)))"""
     RECURSIVE.add(f"{p}_rows")
     BLOCKS[f"{p}_placed"] = f"""

@@ -47,9 +47,26 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The evaluated records read back from the store, as every search, dashboard and report does.
+
+    They are written once per application into the shared folder.  Filters on status, date and
+    owner are then answered from file statistics instead of judging every record again.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SAVED:
+        path = f"{shared_folder(spark)}/inspections-{uuid.uuid4().hex}"
+        store.append(judged(spark, folder), path)
+        _SAVED[key] = path
+    return spark.read.parquet(_SAVED[key]).drop(store.MONTH)
+
+
 def rule_rows(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["inspection_id", "insp_no", "created_at", "user_no", "category"]
-    return rules.long_form(judged(spark, folder), keys)
+    return rules.long_form(saved(spark, folder), keys)
 
 
 def with_images(records: DataFrame) -> DataFrame:
@@ -73,6 +90,7 @@ def with_images(records: DataFrame) -> DataFrame:
         ),
         F.when(n % 6 != 0, urls_).otherwise(F.array().cast("array<string>")).alias("image_urls"),
         F.array().cast("array<string>").alias("annotated_image_urls"),
+        F.lit(None).cast("double").alias("dpi"),
         F.struct(
             F.transform(
                 F.sequence(F.lit(1), F.col("token_count") + 1),
@@ -87,7 +105,7 @@ def with_images(records: DataFrame) -> DataFrame:
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    return to_stored(with_images(judged(spark, folder)))
+    return to_stored(with_images(saved(spark, folder)))
 
 
 def words(col: str, alias: str | None = None):
@@ -510,7 +528,8 @@ def _(spark, folder):
 
 @query("r22_all_rules")
 def _(spark, folder):
-    return rule_rows(spark, folder).select("insp_no", "rule_no", "rule_id", "status", "reason", "legal_ref")
+    out = rules.long_form(rules.evaluate(derived.declared_records(spark, folder)), ["insp_no"])
+    return out.select("insp_no", "rule_no", "rule_id", "status", "reason", "legal_ref")
 
 
 @query("e1_compliance")
@@ -626,13 +645,13 @@ def _overrides(spark, folder):
 
 @query("j9_override_merge")
 def _(spark, folder):
-    out = inspect.apply_overrides(judged(spark, folder), _overrides(spark, folder))
+    out = inspect.apply_overrides(saved(spark, folder), _overrides(spark, folder))
     return out.select("insp_no", "net_quantity", "mrp", "manufacturer", "category", "is_ecommerce", "status", "score")
 
 
 @query("p4_override_and_store")
 def _(spark, folder):
-    old = judged(spark, folder)
+    old = saved(spark, folder)
     columns = ["insp_no", "status", "score", "confidence", "net_quantity", "version"]
     changed = inspect.apply_overrides(old, _overrides(spark, folder)).withColumn("version", F.lit(2))
     return store.upserted(
@@ -711,7 +730,7 @@ def _(spark, folder):
 
 @query("s6_delete_owned")
 def _(spark, folder):
-    r = judged(spark, folder)
+    r = saved(spark, folder)
     ids = derived.declared_records(spark, folder).where("insp_no % 2 = 0").select("insp_no")
     left, _n = store.delete(r, ids, 7, False, ["user_no"], "insp_no")
     return left.select("insp_no", "user_no")
@@ -719,7 +738,7 @@ def _(spark, folder):
 
 @query("s6_deleted_count")
 def _(spark, folder):
-    r = judged(spark, folder)
+    r = saved(spark, folder)
     ids = derived.declared_records(spark, folder).where("insp_no % 2 = 0").select("insp_no")
     return store.delete(r, ids, None, True, ["user_no"], "insp_no")[1]
 
@@ -748,27 +767,27 @@ def _(spark, folder):
 # ------------------------------------------------------------------ search
 @query("f8_status_filter")
 def _(spark, folder):
-    return judged(spark, folder).where(search.has_status("review")).select("insp_no", "status")
+    return saved(spark, folder).where(search.has_status("review")).select("insp_no", "status")
 
 
 @query("f8b_inspector_filter")
 def _(spark, folder):
-    return judged(spark, folder).where(search.owned_by(11, "user_no")).select("insp_no", "user_no")
+    return saved(spark, folder).where(search.owned_by(11, "user_no")).select("insp_no", "user_no")
 
 
 @query("f9_name_wildcard_search")
 def _(spark, folder):
-    return judged(spark, folder).where(search.name_like("duct_1")).select("insp_no", "product_name")
+    return saved(spark, folder).where(search.name_like("duct_1")).select("insp_no", "product_name")
 
 
 @query("f9_name_or_id_search")
 def _(spark, folder):
-    return judged(spark, folder).where(search.name_or_id_contains("CT 1")).select("insp_no", "product_name")
+    return saved(spark, folder).where(search.name_or_id_contains("CT 1")).select("insp_no", "product_name")
 
 
 @query("f10_history_search")
 def _(spark, folder):
-    return judged(spark, folder).where(search.history("Product 3", "FAIL")).select("insp_no", "product_name", "status")
+    return saved(spark, folder).where(search.history("Product 3", "FAIL")).select("insp_no", "product_name", "status")
 
 
 @query("f11_owner_rows")
@@ -789,7 +808,7 @@ def _(spark, folder):
 
 @query("f13_point_lookup")
 def _(spark, folder):
-    r = judged(spark, folder)
+    r = saved(spark, folder)
     wanted = (F.col("insp_no") == 42) & search.visible_to(None, False, ["user_no"])
     return r.where(wanted).select("insp_no", "inspection_id", "status")
 
@@ -825,14 +844,14 @@ def _(spark, folder):
 
 @query("w7_page")
 def _(spark, folder):
-    return search.page(judged(spark, folder).where(search.has_status("FAIL")), 3, 20).select(
+    return search.page(saved(spark, folder).where(search.has_status("FAIL")), 3, 20).select(
         "inspection_id", "created_at", "status"
     )
 
 
 @query("w7_page_after_row")
 def _(spark, folder):
-    r = judged(spark, folder).where(search.has_status("FAIL"))
+    r = saved(spark, folder).where(search.has_status("FAIL"))
     return search.page_after(r, F.lit("1997-01-01 00:00:00").cast("timestamp"), F.lit(""), 20).select(
         "inspection_id", "created_at", "status"
     )
@@ -840,7 +859,7 @@ def _(spark, folder):
 
 @query("w7_total")
 def _(spark, folder):
-    return search.total(judged(spark, folder).where(search.has_status("FAIL")))
+    return search.total(saved(spark, folder).where(search.has_status("FAIL")))
 
 
 # ------------------------------------------------------------------ accounts
@@ -867,7 +886,7 @@ def _(spark, folder):
 
 @query("j5_unknown_owner")
 def _(spark, folder):
-    r = judged(spark, folder).select("insp_no", "user_no")
+    r = saved(spark, folder).select("insp_no", "user_no")
     return accounts.drop_unknown_owners(r, _stored_profiles(spark, folder))
 
 
@@ -892,22 +911,22 @@ def _(spark, folder):
 # ------------------------------------------------------------------ analytics
 @query("e3_dashboard")
 def _(spark, folder):
-    return analytics.dashboard(judged(spark, folder))
+    return analytics.dashboard(saved(spark, folder))
 
 
 @query("e3_dashboard_newest_1000")
 def _(spark, folder):
-    return analytics.dashboard(judged(spark, folder), 1000)
+    return analytics.dashboard(saved(spark, folder), 1000)
 
 
 @query("e4_client_stats")
 def _(spark, folder):
-    return analytics.client_stats(judged(spark, folder))
+    return analytics.client_stats(saved(spark, folder))
 
 
 @query("e4_normalized_stats")
 def _(spark, folder):
-    return analytics.normalized_stats(analytics.dashboard(judged(spark, folder)))
+    return analytics.normalized_stats(analytics.dashboard(saved(spark, folder)))
 
 
 @query("e5_rule_counts")
@@ -922,12 +941,12 @@ def _(spark, folder):
 
 @query("w9_recent_violations")
 def _(spark, folder):
-    return analytics.recent_violations(judged(spark, folder)).select("inspection_id", "pos", "violation")
+    return analytics.recent_violations(saved(spark, folder)).select("inspection_id", "pos", "violation")
 
 
 @query("e6_by_category")
 def _(spark, folder):
-    return analytics.by_category(judged(spark, folder))
+    return analytics.by_category(saved(spark, folder))
 
 
 @query("e7_outcomes")
@@ -940,7 +959,7 @@ def _(spark, folder):
 
 @query("e7_outcomes_without_rules")
 def _(spark, folder):
-    return analytics.outcomes_from_fields(judged(spark, folder), ["insp_no"]).select(
+    return analytics.outcomes_from_fields(saved(spark, folder), ["insp_no"]).select(
         "insp_no", "rule_no", "name", "reason", "outcome"
     )
 
@@ -952,7 +971,7 @@ def _(spark, folder):
 
 @query("e9_shown_score_and_confidence")
 def _(spark, folder):
-    r = judged(spark, folder)
+    r = saved(spark, folder)
     odd = F.col("insp_no") % 2 == 1
     obeyed = F.size(F.filter("rule_results", lambda x: x["status"] == "PASS"))
     return r.select(
@@ -971,7 +990,7 @@ def _(spark, folder):
 
 @query("f30_bands")
 def _(spark, folder):
-    r = judged(spark, folder)
+    r = saved(spark, folder)
     return r.select(
         "insp_no",
         analytics.score_band(analytics.percentage(F.col("score"))).alias("score_band"),
@@ -982,17 +1001,17 @@ def _(spark, folder):
 # ------------------------------------------------------------------ reports
 @query("s9_declaration_audit")
 def _(spark, folder):
-    return report.declaration_audit(judged(spark, folder), ["insp_no"])
+    return report.declaration_audit(saved(spark, folder), ["insp_no"])
 
 
 @query("s10_certificate_head")
 def _(spark, folder):
-    return report.certificate_head(judged(spark, folder), ["insp_no"])
+    return report.certificate_head(saved(spark, folder), ["insp_no"])
 
 
 @query("s10_numbered_violations")
 def _(spark, folder):
-    return report.numbered_violations(judged(spark, folder), ["insp_no"])
+    return report.numbered_violations(saved(spark, folder), ["insp_no"])
 
 
 @query("s11_evidence_images")
@@ -1005,12 +1024,12 @@ def _(spark, folder):
 
 @query("s12_export_fields")
 def _(spark, folder):
-    return report.export_fields(judged(spark, folder), ["insp_no"])
+    return report.export_fields(saved(spark, folder), ["insp_no"])
 
 
 @query("f28_violation_parts")
 def _(spark, folder):
-    v = report.numbered_violations(judged(spark, folder), ["insp_no"])
+    v = report.numbered_violations(saved(spark, folder), ["insp_no"])
     return v.select("insp_no", "violation_no", *report.split_violation(F.col("violation")))
 
 

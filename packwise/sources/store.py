@@ -1,4 +1,4 @@
-"""The inspection store: Parquet partitioned by day, newest version per id wins.
+"""The inspection store: Parquet partitioned by month, newest version per id wins.
 
 Writes go to a fresh folder first and are then swapped in with dynamic partition
 overwrite, so a job that reads the store never overwrites what it is reading, and
@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 
 from ..plans.search import visible_to
 
-DAY = "day"
+MONTH = "month"
 
 
-def with_day(records: DataFrame) -> DataFrame:
-    return records.withColumn(DAY, F.date_format("created_at", "yyyy-MM-dd"))
+def with_month(records: DataFrame) -> DataFrame:
+    return records.withColumn(MONTH, F.date_format("created_at", "yyyy-MM"))
 
 
 def append(records: DataFrame, path: str) -> None:
-    with_day(records).write.mode("append").partitionBy(DAY).parquet(path)
+    """Rows of a month go to few files; the rebalance splits months that are too large for one task."""
+    with_month(records).hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
 def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """All stored records; with a schema no file has to be opened to plan the read."""
-    reader = spark.read if schema is None else spark.read.schema(f"{schema}, {DAY} string")
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, {MONTH} string")
     return reader.parquet(path)
 
 
@@ -52,29 +53,28 @@ def replace_batch(old: DataFrame, batch: DataFrame, key: str = "inspection_id")
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, staging: str, key: str = "inspection_id") -> None:
-    """Merge a batch into the store, rewriting only the days it touches.
+    """Merge a batch into the store, rewriting only the months it touches.
 
-    A record keeps its day: `created_at` does not change when a record is corrected.
+    A record keeps its month: `created_at` does not change when a record is corrected.
     """
-    days = with_day(new)
     batch = f"{staging}/batch-{uuid.uuid4().hex}"
-    days.write.parquet(batch)
+    with_month(new).write.parquet(batch)
     incoming = spark.read.parquet(batch)
-    touched = incoming.select(DAY).distinct()
+    touched = incoming.select(MONTH).distinct()
     if not _exists(spark, path):
-        latest(incoming, key).write.partitionBy(DAY).parquet(path)
+        latest(incoming, key).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
         return
     stored = spark.read.schema(incoming.schema).parquet(path)
-    # the few touched days prune the partitions of the store at run time
-    affected = stored.join(touched, DAY, "left_semi")
+    # the few touched months prune the partitions of the store at run time
+    affected = stored.join(touched, MONTH, "left_semi")
     merged = f"{staging}/merged-{uuid.uuid4().hex}"
-    upserted(affected.select(*incoming.columns), incoming, key).write.partitionBy(DAY).parquet(merged)
+    upserted(affected.select(*incoming.columns), incoming, key).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(merged)
     (
         spark.read.schema(incoming.schema)
         .parquet(merged)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY)
+        .partitionBy(MONTH)
         .parquet(path)
     )
 

@@ -1,8 +1,8 @@
 """Dashboard numbers kept up to date from a stream of finished inspections.
 
 Counting a stream by status would count a re-submitted inspection twice.  Here every
-micro-batch is merged into the store (newest version per id), and the numbers of the
-days it touched are computed again from the store.
+micro-batch is merged into the store (newest version per id), and the daily numbers of
+the months it touched are computed again from the store.
 """
 
 from __future__ import annotations
@@ -37,13 +37,14 @@ def start(
             if batch.isEmpty():
                 return
             store.upsert(spark, store_path, batch, f"{work_path}/staging")
-            days = store.with_day(batch).select(store.DAY).distinct()
-            current = spark.read.schema(store.with_day(batch).schema).parquet(store_path)
-            kpis = measures(current.join(days, store.DAY, "left_semi"), [store.DAY])
+            dated = store.with_month(batch)
+            touched = dated.select(store.MONTH).distinct()
+            current = spark.read.schema(dated.schema).parquet(store_path).join(touched, store.MONTH, "left_semi")
+            kpis = measures(current.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), [store.MONTH, "day"])
             (
                 kpis.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(store.DAY)
+                .partitionBy(store.MONTH)
                 .parquet(kpi_path)
             )
         finally:
@@ -59,4 +60,4 @@ def start(
 
 
 def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:
-    return spark.read.parquet(kpi_path).withColumn(store.DAY, F.col(store.DAY).cast("string"))
+    return spark.read.parquet(kpi_path).drop(store.MONTH)
