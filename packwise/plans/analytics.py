@@ -95,7 +95,7 @@ def most_violated(long: DataFrame, top: int = 8) -> DataFrame:
     hits = long.where(F.col("status").isin("FAIL", "REVIEW"))
     counted = hits.groupBy("name").agg(
         F.count(F.lit(1)).alias("count"),
-        F.min(F.struct((-F.unix_micros("created_at")).alias("t"), "inspection_id", "rule_no")).alias("first"),
+        F.min(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "inspection_id", "rule_no")).alias("first"),
     )
     best = counted.orderBy(F.desc("count"), "first").limit(top)
     return best.select(F.col("name").alias("rule"), "count")
@@ -221,7 +221,9 @@ def _clause_met(value: Column) -> Column:
 def percentage(value: Column) -> Column:
     """A ratio or a percentage as whole percent between 0 and 100; null when it is not a number."""
     n = value.cast("string").try_cast("double")
-    return F.least(F.lit(100), F.greatest(F.lit(0), half_up(F.when(n <= 1, n * 100).otherwise(n))))
+    whole = half_up(F.when(n <= 1, n * 100).otherwise(n))
+    # least and greatest skip nulls, so a missing number has to be kept apart
+    return F.when(n.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), whole)))
 
 
 def shown_score(score: Column, obeyed: Column, rules: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..operators import compliance, lines as line_ops, panels as panel_ops, rules, tokens as token_ops, visual
 from ..operators.declare import extract_fields
+from ..session import staged
 
 KEYS = ["insp_no", "panel_no"]
 CRITICAL = list(V.RETRY_ZONES)
@@ -86,15 +87,16 @@ def judge(records: DataFrame) -> DataFrame:
 def inspect_panels(
     panels: DataFrame, tokens: DataFrame, visuals: DataFrame, retry_tokens: DataFrame | None = None
 ) -> DataFrame:
-    """Every panel as an inspection of its own."""
+    """Every panel as an inspection of its own.
+
+    Merged tokens and first-round fields are read several times, so they are staged.
+    """
+    tokens = staged(tokens)
     fields = extract_fields(line_ops.normalize(tokens), repair=True)
-    base = panels.join(fields, KEYS, "left")
+    fields = panels.select(*KEYS).join(fields, KEYS, "left")
     if retry_tokens is not None:
-        base = panels.select(*KEYS, "image_width", "image_height").join(fields, KEYS, "left")
-        base = panels.join(
-            retry_in_zones(base.drop("image_width", "image_height"), retry_tokens, panels), KEYS, "left"
-        )
-    base = panel_ops.fill_unit_price(base)
+        fields = retry_in_zones(staged(fields), retry_tokens, panels)
+    base = panel_ops.fill_unit_price(panels.join(fields, KEYS, "left"))
     records = base.join(visuals, KEYS, "left").join(token_means(tokens, KEYS), KEYS, "left")
     return judge(panel_ops.with_all_fields(records))
 

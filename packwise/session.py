@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+_LOCAL_FOLDER: str | None = None  # one temporary folder per local process
 
 
 def local_session(cores: str = "8", app: str = "packwise") -> SparkSession:
@@ -32,7 +36,20 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix="packwise-")
+    global _LOCAL_FOLDER
+    if _LOCAL_FOLDER is None:
+        _LOCAL_FOLDER = tempfile.mkdtemp(prefix="packwise-")
+    return _LOCAL_FOLDER
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a result several later steps need into the shared folder and read it back.
+
+    It is computed once, its lineage ends there, and it survives the loss of executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tune(spark: SparkSession) -> None:
