@@ -18,7 +18,7 @@ from ..operators import compliance, declare, lines as line_ops, panels as panel_
 from ..operators.declare import extract_fields
 from ..operators.ordering import with_lookahead
 from ..schemas import STORED, from_stored, to_stored
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import derived, store
 from ..sources.tables import table
 from ..streaming import live_kpis
@@ -40,8 +40,7 @@ def query(name: str):
 # ------------------------------------------------------------------ shared inputs
 def judged(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluated records, one per order, with ids and owners."""
-    r = derived.declared_records(spark, folder)
-    r = inspect.judge(r)
+    r = inspect.judge(spread(derived.declared_records(spark, folder)))
     return r.withColumn("inspection_id", inspect.inspection_id(F.col("insp_no"), F.col("created_at"))).withColumn(
         "violation_count", F.size("violations")
     )
