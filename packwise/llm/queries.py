@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import decontaminate, near_copies, packing
-from packwise.llm.tables import read
+from packwise.llm import decontaminate, near_copies, packing, pitman_yor
+from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 @query
 def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scores = pitman_yor.scored(docs, F.coalesce(crc_bucket(F.col("doc_id"), 7) == 2, F.lit(False)), ["doc_id"])
+    return scores.select("doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
