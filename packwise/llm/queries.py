@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import decontaminate, near_copies, packing, pitman_yor
+from packwise.llm import decontaminate, near_copies, packing, pitman_yor, url_rules
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,42 @@ def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scores = pitman_yor.scored(docs, F.coalesce(crc_bucket(F.col("doc_id"), 7) == 2, F.lit(False)), ["doc_id"])
     return scores.select("doc.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: Fixed rules of the query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_rules.judged(read(spark, sf_dir, "pages").select("page_id", "url"), "url", rules)
+    return judged.select("doc.page_id", "host", "path", "rule", "verdict")
+
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+SQL["op2_url_rules"] = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest
+), named AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM parts
+), rules(rule_host, rule_path, verdict) AS (VALUES {_RULE_ROWS}),
+fits AS (
+  SELECT page_id, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM (SELECT DISTINCT page_id, host, path FROM named) n
+  JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM named n LEFT JOIN (SELECT * FROM fits WHERE place = 1) f ON n.page_id = f.page_id
+"""
