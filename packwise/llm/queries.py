@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import decontaminate, near_copies, packing, pitman_yor, url_rules
+from packwise.llm import decontaminate, near_copies, packing, personal_data, pitman_yor, url_rules
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,22 @@ fits AS (
 SELECT n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
 FROM named n LEFT JOIN (SELECT * FROM fits WHERE place = 1) f ON n.page_id = f.page_id
 """
+
+
+def _joined(spans: str):
+    """kind:start:end of spans by kind as listed, then start."""
+    ordered = F.array_sort(
+        F.transform(
+            spans,
+            lambda s: F.struct(F.array_position(F.array(*[F.lit(k) for k in personal_data.KINDS]), s["kind"]).alias("k"), s["start"].alias("a"), s["end"].alias("b"), s["kind"].alias("kind")),
+        )
+    )
+    return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["a"], s["b"])), ",")
+
+
+@query
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = personal_data.found(read(spark, sf_dir, "documents"), ["doc_id"])
+    spans = spans.withColumn("every", F.concat("base", "added"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
+    return spans.select("doc.doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("every").alias("spans"))
