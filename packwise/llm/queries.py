@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import decontaminate, near_copies, packing, personal_data, pitman_yor, url_rules
+from packwise.llm import byte_cnn, decontaminate, near_copies, packing, personal_data, pitman_yor, url_rules
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,17 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = spans.withColumn("every", F.concat("base", "added"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in personal_data.KINDS]
     return spans.select("doc.doc_id", *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("every").alias("spans"))
+
+
+def quality_net(spark: SparkSession, sf_dir: str, docs: DataFrame) -> byte_cnn.Net:
+    labels = read(spark, sf_dir, "labels")
+    return byte_cnn.train(docs, labels.where(crc_bucket(F.col("doc_id"), 5) != 0))
+
+
+@query
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scores = byte_cnn.scored(docs, ["doc_id"], quality_net(spark, sf_dir, docs))
+    return scores.select(
+        "doc.doc_id", F.coalesce(crc_bucket(F.col("doc.doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
