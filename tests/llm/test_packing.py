@@ -75,3 +75,13 @@ def test_bound_never_exceeds_best_fit(seed):
     histogram = np.bincount(lengths, minlength=101)
     assert packing.lower_bound(histogram, 100) <= packing.best_fit_decreasing(lengths, 100)[2]
     assert packing.lower_bound(np.bincount([51] * 9, minlength=101), 100) == 9
+
+
+def test_words_are_cut_where_the_tokenizer_cuts():
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    known = packing.WordIds(word_tokenizer(), most=50)
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+    words = ["abc", "Élan", "x1y22", "don't,", "it's!", "a.b.", "e\u0301,", "ÜBER!!", "###", "İΣ.", "_a_.", "\u0301x"]
+    texts = [f"{w}{b}{v}{b}" for w in words for v in words for b in blanks]
+    for text in texts:
+        assert np.frombuffer(known.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
