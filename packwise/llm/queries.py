@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import byte_cnn, decontaminate, near_copies, packing, personal_data, pitman_yor, url_rules, voronoi_knn
+from packwise.llm import byte_cnn, decontaminate, licences, near_copies, packing, personal_data, pitman_yor, url_rules, voronoi_knn, warc
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,86 @@ WITH ints AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = licences.known_digests(spark.createDataFrame(licences.NOTICES, "licence string, text string"))
+    found = licences.scanned(read(spark, sf_dir, "documents"), ["doc_id"], known)
+    return found.select("doc.doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
+
+
+def _sql_canonical(text: str) -> str:
+    kept = f"regexp_replace(coalesce({text}, ''), '{licences.COPYRIGHT_LINE}', ' ', 'g')"
+    plain = rf"' ' || regexp_replace(lower({kept}), '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
+    for was, now in licences.SPELLINGS:
+        plain = f"replace({plain}, ' {was} ', ' {now} ')"
+    return f"trim(regexp_replace({plain}, ' +', ' ', 'g'))"
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_NOTICE_ROWS = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.NOTICES)
+SQL["op6_licence_digests"] = f"""
+WITH known AS (
+  SELECT sha256({_sql_canonical("text")}) AS digest, min(licence) AS licence FROM (VALUES {_NOTICE_ROWS}) v(licence, text) GROUP BY 1
+), forms AS (
+  SELECT doc_id, text, sha256({_sql_canonical("text")}) AS digest FROM documents
+), lines AS (
+  SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+), hits AS (
+  SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+  FROM (SELECT doc_id, sha256({_sql_canonical("line")}) AS digest FROM lines) l JOIN known USING (digest) GROUP BY 1
+)
+SELECT f.doc_id, f.digest, k.licence, coalesce(h.notices, '') AS notices
+FROM forms f LEFT JOIN known k ON f.digest = k.digest LEFT JOIN hits h ON f.doc_id = h.doc_id
+"""
+
+
+@query
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+    return records.select("page_id", "type", "record_id", "refers_to", "uri", "date", "content_type", "block", "block_digest", "source_digest", "content_length")
+
+
+def _sql_text(html: str) -> str:
+    text = f"coalesce({html}, '')"
+    for pattern in warc.DROPPED:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {_quoted(warc.LINE_TAGS)}, chr(10), 'g'), {_quoted(warc.OTHER_TAGS)}, '', 'g')"
+    for name, char in warc.REFERENCES:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(char)})"
+    text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g')"
+    return rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
+
+
+def _sql_uuid(key: str) -> str:
+    parts = " || '-' || ".join(f"substr({key}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || {parts} || '>'"
+
+
+SQL["op9_warc_derivatives"] = rf"""
+WITH source AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html,
+         sha256(concat_ws(chr(10), 'response', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), coalesce(html, ''))) AS key
+  FROM pages
+), named AS (
+  SELECT *, {_sql_uuid("key")} AS refers_to, 'sha256:' || sha256(html) AS source_digest FROM source
+), blocks AS (
+  SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type,
+    'title: ' || trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) || chr(13) || chr(10)
+    || 'language: ' || regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || chr(13) || chr(10)
+    || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) || chr(13) || chr(10)
+    || 'source-digest: ' || source_digest || chr(13) || chr(10) AS block FROM named
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', {_sql_text("html")} FROM named
+), keyed AS (
+  SELECT *, sha256(concat_ws(chr(10), type, refers_to)) AS own_key FROM blocks
+)
+SELECT page_id, type, {_sql_uuid("own_key")} AS record_id, refers_to, uri, '{warc.DATE}' AS date, content_type, block,
+       'sha256:' || sha256(block) AS block_digest, source_digest, CAST(strlen(block) AS BIGINT) AS content_length
+FROM keyed
+"""
