@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,35 +24,38 @@ from pyspark.sql import functions as F
 
 from packwise.llm.tables import rows_of, staged, texts_of
 
-_PLAIN_WORDS = re.compile(r"[^ \t\n\r]+")  # no token of the vocabulary spans these blanks
+_WORDS = re.compile(r"[^ \t\n\r]+")
+_ODD_BLANKS = re.compile("[\x1c-\x1f]")  # blanks for str.split, but not for the tokenizer
+_WITH_MARKS = re.compile(r"([^\W_]+)([.,;:!?|#$%&*]+)")  # the tokenizer always cuts between letters or digits and these
 
 
 class WordIds(dict):
-    """Token ids (as little-endian uint32 bytes) of blank-separated words; refilled by batches, emptied when large."""
+    """Token ids (as little-endian uint32 bytes) of blank-separated words, which no token spans; emptied when large.
+    Words that end in marks share the ids of their first part, and ASCII words those of their lower-case form."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.encode, self.most = Tokenizer.from_file(path).encode, most
 
-    def learn(self, words: list[str]) -> None:
-        new = list({w for w in words if w not in self})
-        if len(self) + len(new) > self.most:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.most:
             self.clear()
-            new = list(set(words))
-        for low in range(0, len(new), 20_000):
-            part = new[low : low + 20_000]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(code.ids, "<u4").tobytes()
+        parts = _WITH_MARKS.fullmatch(word)
+        if parts:
+            ids = self[parts[1]] + self[parts[2]]
+        elif word.isascii() and word != (low := word.lower()):
+            ids = self[low]
+        else:
+            found = self.encode(word, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
-        words = _PLAIN_WORDS.findall(text)
-        try:
-            return b"".join([self[w] for w in words])
-        except KeyError:
-            self.learn(words)
-            return b"".join([self[w] for w in words])
+        words = _WORDS.findall(text) if _ODD_BLANKS.search(text) else text.split()
+        return b"".join(map(self.__getitem__, words))
 
 
 def token_pieces(docs: DataFrame, keep: list[str], *, tokenizer: str, text: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -65,8 +69,8 @@ def token_pieces(docs: DataFrame, keep: list[str], *, tokenizer: str, text: str
         known, size = WordIds(tokenizer), 4 * capacity
         for batch in rows_of(batches, 4 << 20):
             rows, row, made, codes = batch.column(0), [], [], []
-            for i, text_value in enumerate(texts_of(rows.field(text)).to_pylist()):
-                ids = known.ids(text_value) + end
+            for i, value in enumerate(texts_of(rows.field(text)).to_pylist()):
+                ids = known.ids(value) + end
                 for k, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     row.append(i)
