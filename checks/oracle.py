@@ -191,7 +191,7 @@ FROM (SELECT *, {strip('text')} AS st FROM {p}_san)"""
     maker_tail = ", ".join(f"CASE WHEN {t} THEN nullif(st{i}, '') END" for i, t in enumerate(maker_takes, 1))
     care_takes = block("cstop", False)
     care_tail = " || ".join(f"CASE WHEN {t} THEN ' ' || st{i} ELSE '' END" for i, t in enumerate(care_takes, 1))
-    rest = f"CASE WHEN {has('text', V.MAKER_KEYWORD)} THEN {strip(f'regexp_extract(text, {q(chr(40) + chr(63) + chr(115) + chr(41) + V.MAKER_KEYWORD + chr(40) + chr(46) + chr(42) + chr(41) + chr(36))}, 1)', ' :.-')} END"
+    rest = f"CASE WHEN {has('text', V.MAKER_KEYWORD)} THEN {strip(f'regexp_extract(text, {q('(?s)' + V.MAKER_KEYWORD + '(.*)$')}, 1)', ' :.-')} END"
     corp = f"CASE WHEN {has('text', V.MAKER_CORPORATE)} AND NOT {any_in('up', V.MAKER_CONTEXT_SKIP)} THEN {strip('text', ' :.-')} END"
     phrases = [
         f"WHEN " + " OR ".join(f"contains(up, {q(ph + c)})" for ph in V.ORIGIN_PHRASES) + f" THEN {q(c)}"
@@ -579,9 +579,11 @@ ORACLE["u2_horizontal_and_vertical_lines"] = f"""
 SELECT insp_no, 'row' AS kind, count(*) AS lines FROM (SELECT DISTINCT insp_no, panel_no, line_no FROM tokens WHERE NOT {VERTICAL}) GROUP BY 1
 UNION ALL SELECT insp_no, 'side', count(*) FROM tokens WHERE {VERTICAL} GROUP BY 1"""
 ORACLE["w6_normalize"] = "SELECT * FROM kept_lines"
-ORACLE["e10_recognition_telemetry"] = (
-    f"SELECT insp_no, panel_no, count(*) AS token_count, {rnd(exact_mean('confidence'), 4)} AS mean_confidence FROM tokens GROUP BY 1, 2"
-)
+ORACLE["e10_recognition_telemetry"] = f"""
+SELECT insp_no, panel_no, coalesce(token_count, 0) AS token_count, coalesce(mean_confidence, 1.0) AS mean_confidence
+FROM (SELECT DISTINCT insp_no, panel_no FROM label_lines) LEFT JOIN (
+  SELECT insp_no, panel_no, count(*) AS token_count, {rnd(exact_mean('confidence'), 4)} AS mean_confidence
+  FROM tokens WHERE insp_no % 50 <> 0 GROUP BY 1, 2) USING (insp_no, panel_no)"""
 ORACLE["w1_lookahead_lines"] = (
     "SELECT insp_no, panel_no, line_no, " + ", ".join(f"lead(text, {i}) OVER w AS next{i}" for i in (1, 2, 3, 4))
     + " FROM label_lines WINDOW w AS (PARTITION BY insp_no, panel_no ORDER BY line_no)"
@@ -589,7 +591,7 @@ ORACLE["w1_lookahead_lines"] = (
 ORACLE["w2_first_match_ranks"] = f"""
 SELECT insp_no, panel_no, rank // {1 << 40} AS pass_no, rank % {1 << 40} AS line_no FROM lab_keys LEFT JOIN lab_net_quantity USING (insp_no, panel_no)"""
 ORACLE["w10_ordered_regions"] = (
-    "SELECT insp_no, panel_no, f.y AS y, f.x AS x, regions FROM (SELECT insp_no, panel_no, min({'y': y, 'x': x, 'k': k}) AS f, count(*) AS regions FROM regions GROUP BY 1, 2)"
+    "SELECT insp_no, panel_no, CAST(row_number() OVER (PARTITION BY insp_no, panel_no ORDER BY y, x, k) AS INTEGER) AS place, k, y, x FROM regions"
 )
 ORACLE["j8_commodity_lines"] = (
     f"SELECT commodity, count(*) AS lines FROM (SELECT {commodity('lower(text)')} AS commodity FROM label_lines) WHERE commodity IS NOT NULL GROUP BY 1"
@@ -608,15 +610,17 @@ SELECT insp_no, panel_no, field, seq, clean AS text, confidence, x_min, y_min, x
   SELECT *, unnest(list_filter([CASE WHEN cy >= 400 AND cy < 800 AND cx >= 400 AND cx < 1000 THEN 'mrp' END,
     CASE WHEN cy >= 320 AND cy < 720 AND cx >= 0 AND cx < 600 THEN 'net_quantity' END,
     CASE WHEN cy >= 400 AND cy < 800 AND cx >= 0 AND cx < 600 THEN 'manufacture_date' END], lambda f: f IS NOT NULL)) AS field
-  FROM (SELECT *, (x_min + x_max) / 2.0 AS cx, (y_min + y_max) / 2.0 AS cy FROM second_pass)) JOIN token_texts ON text = raw
+  FROM (SELECT *, (x_min + x_max) / 2.0 AS cx, (y_min + y_max) / 2.0 AS cy FROM second_pass)) SEMI JOIN open_fields USING (insp_no, panel_no, field) JOIN token_texts ON text = raw
 WHERE confidence >= 0.34 AND clean <> ''"""
+BLOCKS["open_fields"] = " UNION ALL ".join(  # critical fields a panel lacks after the first pass
+    f"SELECT insp_no, panel_no, {q(f)} AS field FROM (SELECT insp_no, panel_no FROM panels) LEFT JOIN one_repaired USING (insp_no, panel_no) WHERE coalesce({f}, '') = ''"
+    for f in V.RETRY_ZONES
+)
 define_lines("zone", "zoned", ", field")
 define_fields("zon", "zone_lines", ["insp_no", "panel_no", "field"])
 for name in ("mrp", "net_quantity", "manufacture_date"):
     BLOCKS[f"zone_{name}"] = f"SELECT insp_no, panel_no, {name} AS retry_{name} FROM zon_repaired WHERE field = {q(name)}"
-ORACLE["x16_zone_retry"] = """
-SELECT insp_no, panel_no, retry_mrp AS mrp, retry_net_quantity AS net_quantity, retry_manufacture_date AS manufacture_date FROM panels
-LEFT JOIN zone_mrp USING (insp_no, panel_no) LEFT JOIN zone_net_quantity USING (insp_no, panel_no) LEFT JOIN zone_manufacture_date USING (insp_no, panel_no)"""
+ORACLE["x16_zone_retry"] = f"SELECT insp_no, panel_no, {', '.join(V.RETRY_ZONES)} FROM one_retried"
 
 # ------------------------------------------------------------------ visual checks
 ORACLE["f18_target_size"] = """
@@ -865,16 +869,16 @@ ORACLE["e11_panel_merge"] = (
     + ", ".join(f"CASE WHEN bool_or({c}) THEN true END AS {c}" for c in V.FLAG_FIELDS) + ", count(*) AS panel_count FROM declared GROUP BY 1"
 )
 ORACLE["u1_tokens_of_all_panels"] = (
-    "SELECT insp_no, count(*) AS tokens, CAST(sum(length(text)) AS BIGINT) AS characters, max(panel_no) AS panels FROM tokens GROUP BY 1"
+    "SELECT insp_no, row_number() OVER (PARTITION BY insp_no ORDER BY panel_no, seq) AS token_no, panel_no, text FROM tokens"
 )
 REST = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in V.TEXT_FIELDS if c not in V.EXTRACTED_FIELDS) + ", " + ", ".join(
     f"CAST(NULL AS BOOLEAN) AS {c}" for c in V.FLAG_FIELDS
 )
 BLOCKS["lab_priced"] = filled_unit_price("lab_repaired")
-BLOCKS["pack_merged"] = "SELECT insp_no, " + ", ".join(merged(c) for c in V.EXTRACTED_FIELDS) + " FROM lab_priced GROUP BY 1"
+BLOCKS["pack_merged"] = "SELECT insp_no, " + ", ".join(merged(c) for c in V.EXTRACTED_FIELDS) + " FROM one_priced GROUP BY 1"
 BLOCKS["pack_priced"] = filled_unit_price("pack_merged")
 BLOCKS["token_means"] = (
-    f"SELECT insp_no, {exact_mean('c')} AS token_confidence FROM (SELECT insp_no, CASE WHEN confidence > 0 THEN confidence END AS c FROM tokens) GROUP BY 1"
+    f"SELECT insp_no, {exact_mean('c')} AS token_confidence FROM (SELECT insp_no, CASE WHEN confidence > 0 THEN confidence END AS c FROM recovered) GROUP BY 1"
 )
 BLOCKS["packages"] = f"""
 SELECT o_orderkey AS insp_no, {q(V.DEFAULT_CATEGORY)} AS category, {', '.join(V.EXTRACTED_FIELDS)}, {REST}, readability, font_height, placement, token_confidence
@@ -922,9 +926,7 @@ REFUSED = (
 BLOCKS["admission"] = f"SELECT file_no, batch_no, n AS batch_files, {REFUSED} AS reject_reason FROM (SELECT *, count(*) OVER (PARTITION BY batch_no) AS n FROM uploads)"
 ORACLE["f17_upload_admission"] = "SELECT * FROM admission"
 BLOCKS["batch_records"] = f"""
-SELECT insp_no, panel_no, {q(V.DEFAULT_CATEGORY)} AS category, {', '.join('l.' + c for c in V.EXTRACTED_FIELDS)}, {REST}, CAST(NULL AS VARCHAR) AS readability,
-  CAST(NULL AS DOUBLE) AS font_height, CAST(NULL AS VARCHAR) AS placement, CAST(NULL AS DOUBLE) AS token_confidence
-FROM lab_priced l JOIN panels p USING (insp_no, panel_no) JOIN admission a ON p.pk = a.file_no WHERE a.reject_reason IS NULL"""
+SELECT r.* FROM one_records r JOIN panels p USING (insp_no, panel_no) JOIN admission a ON p.pk = a.file_no WHERE a.reject_reason IS NULL"""
 define_judged("batch", "batch_records", "insp_no, panel_no")
 ORACLE["p3_batch_inspections"] = "SELECT insp_no, panel_no, status, score, confidence FROM batch_judged"
 BLOCKS["corrected"] = """
@@ -1036,8 +1038,6 @@ ALIASES = ", ".join(
     }.items()
 )
 ORACLE["e3_dashboard"] = f"SELECT {ALIASES} FROM ({measures_sql('rec')})"
-BLOCKS["newest_1000"] = "SELECT * FROM rec ORDER BY created_at DESC, inspection_id LIMIT 1000"
-ORACLE["e3_dashboard_newest_1000"] = f"SELECT {ALIASES} FROM ({measures_sql('newest_1000')})"
 ORACLE["e4_client_stats"] = """
 SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'REVIEW') AS review,
   CAST(count(*) FILTER (status = 'PASS') AS DOUBLE) / count(*) * 100 AS rate, CAST(sum(violation_count) AS BIGINT) AS alerts FROM rec"""
@@ -1124,10 +1124,10 @@ SELECT insp_no, violation_no, CASE WHEN contains(violation, ':') THEN trim(split
 ORACLE["f31_trusted_urls"] = """
 SELECT page_id, address, CASE WHEN starts_with(address, '/api/uploads/') THEN t <> '' AND NOT contains(t, '..') AND NOT starts_with(t, '/')
     AND len(list_filter(string_split(t, '/'), lambda s: starts_with(s, '.') AND s <> '.')) = 0
-  ELSE regexp_matches(address, '^https://store\\.example\\.com/storage/v1/object/(public|sign)/label-images/') AND NOT regexp_matches(address, '#.')
+  ELSE regexp_matches(address, '^https://store\\.example\\.com/storage/v1/object/(public|sign)/label-pictures/') AND NOT regexp_matches(address, '#.')
     AND (regexp_matches(address, '^[^?]*/sign/') OR NOT regexp_matches(address, '\\?.')) END AS trusted
 FROM (SELECT *, substr(address, 14) AS t FROM (SELECT page_id, unnest([url,
-  'https://store.example.com/storage/v1/object/' || ['public/label-images/', 'sign/label-images/', 'public/other/', 'private/label-images/'][page_id % 4 + 1] || tail,
+  'https://store.example.com/storage/v1/object/' || ['public/label-pictures/', 'sign/label-pictures/', 'public/other/', 'private/label-pictures/'][page_id % 4 + 1] || tail,
   '/api/uploads/' || CASE page_id % 3 WHEN 0 THEN '../' WHEN 1 THEN '.x/' ELSE '' END || tail]) AS address
   FROM (SELECT *, regexp_replace(url, '^https?://[^/]*/', '') AS tail FROM pages)))"""
 

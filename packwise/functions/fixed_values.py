@@ -491,7 +491,6 @@ PLACEHOLDER_NAMES = [
 ]
 UPLOAD_PREFIX = "/api/uploads/"
 STORAGE_PATH = r"^/storage/v1/object/(public|sign)/"
-STORAGE_BUCKET = "label-images"
 
 # text fields first, then the four tri-state flags and the mark, in record order
 TEXT_FIELDS = [
@@ -518,12 +517,6 @@ CERTIFICATE_ROWS = [
 CERTIFICATE_MISSING = ["missing", "none", "null"]
 STATUS_TEXT = {"PASS": "COMPLIANT (PASS)", "FAIL": "NON-COMPLIANT (FAIL)"}
 STATUS_TEXT_OTHER = "UNDER REVIEW"
-VISUAL_REQUIREMENTS = [
-    ("Text Readability", "Prominent & clearly legible"),
-    ("Calibrated Font Height", "≥ 1.0mm (scale adjusted)"),
-    ("Principal Display Panel", "Clear group placement"),
-]
-
 # declarations catalogue: field, label, required, format hint
 DECLARATIONS = [
     ("manufacturer", "Manufacturer/Packer/Importer name & address", True, None),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixed_values as V
 
 
-def trusted_image_url(url: Column, storage_host: str, bucket: str = V.STORAGE_BUCKET) -> Column:
+def trusted_image_url(url: Column, storage_host: str, bucket: str) -> Column:
     """True for a storage object on the configured host, or a safe local upload path."""
     tail = F.substring(url, len(V.UPLOAD_PREFIX) + 1, 1 << 30)
     upload = (

@@ -77,13 +77,17 @@ def rescale_box(box: Column, factor: Column) -> Column:
     ).otherwise(box)
 
 
-def telemetry(tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Token count and mean confidence (four decimals) per panel."""
+def telemetry(panels: DataFrame, tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Token count and mean confidence (four decimals) per panel; a panel without tokens has none and a mean of 1."""
+    keys = keys or KEYS
     exact = F.sum(F.col("confidence").cast("decimal(20,12)")).cast("double")
-    return tokens.groupBy(*(keys or KEYS)).agg(
+    seen = tokens.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("token_count"),
         rounded(exact / F.count(F.lit(1)), 4).alias("mean_confidence"),
     )
+    return panels.select(*keys).join(seen, keys, "left").select(
+        *keys, F.coalesce("token_count", F.lit(0)).alias("token_count"), F.coalesce("mean_confidence", F.lit(1.0)).alias("mean_confidence")
+    )
 
 
 def needs_recovery(panels: DataFrame, tokens: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -24,11 +24,6 @@ KPI_ALIASES = {
 }
 
 
-def newest(records: DataFrame, cap: int | None) -> DataFrame:
-    """All records, or only the newest `cap` (a top-k), as the capped dashboard does."""
-    return records if cap is None else records.orderBy(F.desc("created_at"), "inspection_id").limit(cap)
-
-
 def measures(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts by status, compliance rate and mean confidence in percent (one decimal), number of violations."""
     total = F.count(F.lit(1))
@@ -45,9 +40,9 @@ def measures(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def dashboard(records: DataFrame, cap: int | None = None) -> DataFrame:
-    """One row with every published key."""
-    m = measures(newest(records, cap))
+def dashboard(records: DataFrame) -> DataFrame:
+    """One row with every published key, over all records."""
+    m = measures(records)
     return m.select(*[F.col(measure).alias(key) for key, measure in KPI_ALIASES.items()])
 
 
@@ -198,10 +193,12 @@ def outcomes_from_fields(records: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(fresh, F.concat(acc, F.array(row))).otherwise(acc)
 
     listed = F.aggregate(F.coalesce("violations", F.array().cast("array<string>")), F.col("__base"), add)
-    rows = stated.withColumn("__all", listed).select(*keys, "status", F.posexplode("__all").alias("pos", "o"))
-    # the first failure of a REVIEW record moves to review
-    first_failure = F.min(F.when(F.col("o.outcome") == "not_obeyed", F.col("pos"))).over(Window.partitionBy(*keys))
-    moved = (F.col("status") == "REVIEW") & (F.col("pos") == first_failure)
+    # the first failure of a REVIEW record moves to review; it is found in the list, before rows are made of it
+    rows = stated.withColumn("__all", listed).withColumn(
+        "__first", F.array_position(F.transform("__all", lambda o: o["outcome"]), F.lit("not_obeyed")) - 1
+    )
+    rows = rows.select(*keys, "status", "__first", F.posexplode("__all").alias("pos", "o"))
+    moved = (F.col("status") == "REVIEW") & (F.col("pos") == F.col("__first"))
     return rows.select(
         *keys,
         (F.col("pos") + 1).alias("rule_no"),
@@ -220,7 +217,8 @@ def _clause_met(value: Column) -> Column:
 
 def percentage(value: Column) -> Column:
     """A ratio or a percentage as whole percent between 0 and 100; null when it is not a number."""
-    n = value.cast("string").try_cast("double")
+    text = F.trim(value.cast("string"))
+    n = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))  # an empty text counts as zero
     whole = half_up(F.when(n <= 1, n * 100).otherwise(n))
     # least and greatest skip nulls, so a missing number has to be kept apart
     return F.when(n.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), whole)))

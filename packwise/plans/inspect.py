@@ -84,6 +84,13 @@ def judge(records: DataFrame) -> DataFrame:
     return compliance.with_compliance(rules.evaluate(records), "token_confidence")
 
 
+def panel_declarations(panels: DataFrame, tokens: DataFrame, retry_tokens: DataFrame | None = None) -> DataFrame:
+    """Declarations of every panel from its tokens: lines, fields, and a second try in zones for missing ones."""
+    fields = extract_fields(line_ops.normalize(tokens), repair=True)
+    fields = panels.select(*KEYS).join(fields, KEYS, "left")
+    return fields if retry_tokens is None else retry_in_zones(staged(fields), retry_tokens, panels)
+
+
 def inspect_panels(
     panels: DataFrame, tokens: DataFrame, visuals: DataFrame, retry_tokens: DataFrame | None = None
 ) -> DataFrame:
@@ -92,10 +99,7 @@ def inspect_panels(
     Merged tokens and first-round fields are read several times, so they are staged.
     """
     tokens = staged(tokens)
-    fields = extract_fields(line_ops.normalize(tokens), repair=True)
-    fields = panels.select(*KEYS).join(fields, KEYS, "left")
-    if retry_tokens is not None:
-        fields = retry_in_zones(staged(fields), retry_tokens, panels)
+    fields = panel_declarations(panels, tokens, retry_tokens)
     base = panel_ops.fill_unit_price(panels.join(fields, KEYS, "left"))
     records = base.join(visuals, KEYS, "left").join(token_means(tokens, KEYS), KEYS, "left")
     return judge(panel_ops.with_all_fields(records))

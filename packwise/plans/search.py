@@ -68,6 +68,8 @@ def page_after(records: DataFrame, created_at: Column, inspection_id: Column, li
     later = (F.col("created_at") < created_at) | (
         (F.col("created_at") == created_at) & (F.col("inspection_id") > inspection_id)
     )
+    if "month" in records.columns:  # the partition column of the store: later months are not read
+        later = later & (F.col("month") <= F.date_format(created_at, "yyyy-MM"))
     return records.where(later).orderBy(F.desc("created_at"), "inspection_id").limit(limit)
 
 

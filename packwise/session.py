@@ -16,7 +16,7 @@ def local_session(cores: str = "8", app: str = "packwise") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.driver.memory", os.environ.get("PACKWISE_DRIVER_MEMORY", "20g"))
+        .config("spark.driver.memory", os.environ.get("PACKWISE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -52,15 +52,6 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that came in fewer pieces than there are cores, before heavy row-wise work.
-
-    Large inputs have more pieces than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def tune(spark: SparkSession) -> None:
     """Settings that may be changed on a running session.
 

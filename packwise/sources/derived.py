@@ -128,14 +128,14 @@ FROM {customer}
 """
 
 UPLOADS = """
-SELECT p_partkey AS file_no, CAST(floor(p_partkey / 11) AS BIGINT) AS batch_no,
+SELECT p_partkey AS file_no, CAST(floor(p_partkey / 91) * 13 + floor((sqrt(8 * (p_partkey % 91) + 1) - 1) / 2) AS BIGINT) AS batch_no,
   CASE p_size % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' WHEN 3 THEN 'application/pdf'
     WHEN 4 THEN 'application/octet-stream' END AS content_type,
   CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE (p_partkey * 7919) % 20000000 END AS size_bytes,
-  'IMG_' || p_name || '-no' || CAST(p_partkey AS STRING) || '.final.jpg' AS filename,
+  'img_' || p_file || '-no' || CAST(p_partkey AS STRING) || '.final.jpg' AS filename,
   CAST((p_partkey * 37) % 9000 AS INT) AS width, CAST((p_partkey * 53) % 5000 AS INT) AS height
 FROM (SELECT *, replace(p_name, ' ', '_') AS p_file FROM {part})
-""".replace("'IMG_' || p_name", "'img_' || p_file")
+"""
 
 STATUS_EVENTS = """
 SELECT event_id AS insp_no, 1 AS version, ts AS created_at, user_id AS user_no,
@@ -166,16 +166,16 @@ def panels(spark: SparkSession, folder: str) -> DataFrame:
     return wide.select("panel_no", *[F.expr(e).alias(n) for n, e in PANEL_COLUMNS.items()])
 
 
-def label_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Twelve printed lines per panel."""
-    return panels(spark, folder).select(
+def label_lines(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
+    """Twelve printed lines per panel; `of`: a panel table that is already there."""
+    return (panels(spark, folder) if of is None else of).select(
         "insp_no", "panel_no", F.posexplode(F.array(*[F.expr(e) for e in LABEL_LINES])).alias("pos", "text")
     ).select("insp_no", "panel_no", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def tokens(spark: SparkSession, folder: str) -> DataFrame:
+def tokens(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
     """Recognized words with confidence and box; `seq` is the detector's output order within a panel."""
-    words = label_lines(spark, folder).select(
+    words = label_lines(spark, folder, of).select(
         "insp_no", "panel_no", "line_no", F.posexplode(F.split("text", " ")).alias("pos", "text")
     ).withColumn("word_no", F.col("pos") + 1)
     boxed = words.select("*", *[F.expr(e).alias(n) for n, e in TOKEN_COLUMNS.items()])
@@ -188,9 +188,9 @@ def tokens(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def second_pass_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def second_pass_tokens(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
     """What a second recognition pass over the same panels returns."""
-    t = tokens(spark, folder).where(SECOND_PASS["keep"])
+    t = tokens(spark, folder, of).where(SECOND_PASS["keep"])
     t = t.withColumn("dx", F.expr(SECOND_PASS["dx"])).withColumn("dy", F.expr(SECOND_PASS["dy"]))
     return t.select(
         "insp_no", "panel_no", "seq", "text", F.expr(SECOND_PASS["confidence"]).alias("confidence"),
@@ -230,14 +230,14 @@ METRIC_COLUMNS = {
 }
 
 
-def regions(spark: SparkSession, folder: str) -> DataFrame:
+def regions(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
     """Six detected boxes per panel."""
-    p = panels(spark, folder).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    p = (panels(spark, folder) if of is None else of).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(5))))
     return p.select("insp_no", "panel_no", "k", *[F.expr(e).alias(n) for n, e in REGION_COLUMNS.items()])
 
 
-def panel_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def panel_metrics(spark: SparkSession, folder: str, of: DataFrame | None = None) -> DataFrame:
     """Image size, sharpness, contrast and scale per panel; panels of part keys ending in 9 were not measured."""
-    return panels(spark, folder).where("pk % 10 <> 9").select(
+    return (panels(spark, folder) if of is None else of).where("pk % 10 <> 9").select(
         "insp_no", "panel_no", *[F.expr(e).alias(n) for n, e in METRIC_COLUMNS.items()]
     )

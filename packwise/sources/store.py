@@ -21,9 +21,25 @@ def with_month(records: DataFrame) -> DataFrame:
     return records.withColumn(MONTH, F.date_format("created_at", "yyyy-MM"))
 
 
+def months_of(dated: DataFrame) -> list[str | None]:
+    """The months a batch touches; their number is bounded by the calendar, not by the rows."""
+    return [r[0] for r in dated.select(MONTH).distinct().collect()]
+
+
+def of_months(records: DataFrame, months: list[str | None]) -> DataFrame:
+    """Only these months, as a filter on the partition column, so other partitions are not even listed."""
+    chosen = F.col(MONTH).isin([m for m in months if m is not None])
+    return records.where(chosen | F.col(MONTH).isNull() if None in months else chosen)
+
+
 def append(records: DataFrame, path: str) -> None:
-    """Rows of a month go to few files; the rebalance splits months that are too large for one task."""
-    with_month(records).hint("rebalance", MONTH).write.mode("append").partitionBy(MONTH).parquet(path)
+    """Rows of a month go to few files; the rebalance splits months that are too large for one task.
+
+    Inside a file rows are ordered by owner and date, so filters on them skip row groups.
+    """
+    dated = with_month(records).hint("rebalance", MONTH)
+    order = [c for c in ("user_id", "user_no", "created_at") if c in records.columns]
+    dated.sortWithinPartitions(MONTH, *order).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
 def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -35,13 +51,14 @@ def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame
 def latest(records: DataFrame, key: str = "inspection_id", version: str = "version") -> DataFrame:
     """The newest version per id; a partial aggregate, so ids sent very often are reduced before the shuffle."""
     row = F.struct(*[F.col(c) for c in records.columns])
-    best = records.groupBy(key).agg(F.max_by(row, F.col(version)).alias("r"))
+    order = F.struct(F.col(version), F.xxhash64(F.to_json(row)))  # equal versions: always the same row
+    best = records.groupBy(key).agg(F.max_by(row, order).alias("r"))
     return best.select("r.*")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "inspection_id", version: str = "version") -> DataFrame:
     """Old and new records with the newest version per id; on equal versions the new record wins."""
-    order = F.struct(F.col(version), F.col("__new"))
+    order = F.struct(F.col(version), F.col("__new"), F.xxhash64(F.to_json(F.struct(*old.columns))))
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     row = F.struct(*[F.col(c) for c in old.columns])
     return both.groupBy(key).agg(F.max_by(row, order).alias("r")).select("r.*")
@@ -60,13 +77,11 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, staging: str, key: st
     batch = f"{staging}/batch-{uuid.uuid4().hex}"
     with_month(new).write.parquet(batch)
     incoming = spark.read.parquet(batch)
-    touched = incoming.select(MONTH).distinct()
     if not _exists(spark, path):
         latest(incoming, key).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
         return
     stored = spark.read.schema(incoming.schema).parquet(path)
-    # the few touched months prune the partitions of the store at run time
-    affected = stored.join(touched, MONTH, "left_semi")
+    affected = of_months(stored, months_of(incoming))
     merged = f"{staging}/merged-{uuid.uuid4().hex}"
     upserted(affected.select(*incoming.columns), incoming, key).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(merged)
     (

@@ -15,19 +15,10 @@ from ..plans.analytics import measures
 from ..sources import store
 
 
-def without_redeliveries(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop repeated deliveries of one version of a record; the watermark bounds the state (and drops later rows)."""
-    return stream.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["inspection_id", "version"])
-
-
-def start(
-    stream: DataFrame, store_path: str, kpi_path: str, work_path: str, redelivery_delay: str | None = None
-) -> StreamingQuery:
+def start(stream: DataFrame, store_path: str, kpi_path: str, work_path: str) -> StreamingQuery:
     """Run over everything available; `work_path` holds the checkpoint and staged batches.
 
-    Merging is idempotent, so repeated deliveries do no harm.  Give `redelivery_delay` to
-    drop them early; rows later than that delay are then dropped too, so leave it unset
-    where old inspections may still be corrected.
+    Merging is idempotent, so repeated deliveries do no harm and late corrections count.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -38,8 +29,7 @@ def start(
                 return
             store.upsert(spark, store_path, batch, f"{work_path}/staging")
             dated = store.with_month(batch)
-            touched = dated.select(store.MONTH).distinct()
-            current = spark.read.schema(dated.schema).parquet(store_path).join(touched, store.MONTH, "left_semi")
+            current = store.of_months(spark.read.schema(dated.schema).parquet(store_path), store.months_of(dated))
             kpis = measures(current.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), [store.MONTH, "day"])
             (
                 kpis.write.mode("overwrite")
@@ -50,9 +40,8 @@ def start(
         finally:
             batch.unpersist()
 
-    source = stream if redelivery_delay is None else without_redeliveries(stream, redelivery_delay)
     return (
-        source.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(merge)
         .option("checkpointLocation", f"{work_path}/checkpoint")
         .trigger(availableNow=True)
         .start()
