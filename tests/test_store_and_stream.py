@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from packwise.plans.analytics import measures
+from packwise.operators.tokens import telemetry
+from packwise.plans import search
+from packwise.plans.analytics import measures, percentage
 from packwise.sources import store
 from packwise.streaming import live_kpis
 
@@ -48,3 +50,36 @@ def test_stream_equals_batch(spark, tmp_path):
     want = measures(stored.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), ["day"])
     key = lambda r: r["day"]
     assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_only_touched_months_are_read(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.append(spark.createDataFrame(_rows(1, "PASS", range(40)), SCHEMA), path)
+    months = store.months_of(store.with_month(spark.createDataFrame(_rows(2, "FAIL", [0, 3]), SCHEMA)))
+    assert months == ["2024-01"]
+    chosen = store.of_months(store.scan(spark, path), months)
+    assert "PartitionFilters: [isnotnull(month" in _plan(chosen) and {r["month"] for r in chosen.collect()} == {"2024-01"}
+    after = search.page_after(store.scan(spark, path), F.lit(dt.datetime(2024, 2, 5)), F.lit("I1"))
+    assert "PartitionFilters: [isnotnull(month" in _plan(after)
+    assert all(r["created_at"] <= dt.datetime(2024, 2, 5) for r in after.collect())
+
+
+def test_equal_versions_always_give_the_same_row(spark):
+    rows = [(f"I{i % 5}", 1, dt.datetime(2024, 1, 1), f"S{i}", i, 0.5) for i in range(200)]
+    first = sorted(store.latest(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert first == sorted(store.latest(spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)).collect())
+
+
+def test_empty_percentages_are_zero(spark):
+    df = spark.createDataFrame([("",), ("0.5",), ("x",), (None,), (" 70 ",)], "v string")
+    assert [r[0] for r in df.select(percentage(F.col("v"))).collect()] == [0, 50, None, None, 70]
+
+
+def test_telemetry_keeps_empty_panels(spark):
+    panels = spark.createDataFrame([(1, 1), (1, 2)], "insp_no long, panel_no long")
+    tokens = spark.createDataFrame([(1, 1, 0.5), (1, 1, 1.0)], "insp_no long, panel_no long, confidence double")
+    assert sorted(map(tuple, telemetry(panels, tokens).collect())) == [(1, 1, 2, 0.75), (1, 2, 0, 1.0)]
