@@ -57,7 +57,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
-    ips = [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 or len(p.lstrip("0")) <= 3 for p in m[0].split(".")) and all(int(p) <= 255 for p in m[0].split("."))]
+    ips = [m.span() for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     cards, phones = [], []
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -77,6 +77,7 @@ _TRIGGER = re.compile(r"[0-9]{2}|@|[\[({]at[\])}]| dot ")
 _UNIT = re.compile(r"[^\W_]+|[^\w\s]|_")
 _AT = frozenset(["@", "at"])
 MOST_UNITS = 14  # units of the longest segment
+MOST_DIGITS = 20  # digits of the longest
 _REACH = 60  # characters around a trigger
 _CLUSTER = 400  # units of one dynamic program; longer runs are cut between two of them
 
@@ -90,33 +91,35 @@ def _shape(unit: str) -> str:
     return "m" if len(unit) > 1 else unit
 
 
-def _features(units: list[tuple[str, int, int]], i: int, j: int, text: str) -> list[str]:
-    """Of the segment of units i..j-1 as a whole."""
-    inner = [u for u, _, _ in units[i:j]]
-    shapes = [_shape(u) for u in inner]
-    raw = text[units[i][1] : units[j - 1][2]]
-    digits = sum(len(u) for u in inner if u.isdigit())
-    numbers = [u for u in inner if u.isdigit()]
-    gaps = raw.count(" ")
+def segment_slots(units: list[tuple[str, int, int]], i: int, j: int, text: str) -> tuple[int, ...]:
+    """Feature slots of the segment of units i..j-1 as a whole, with what stands before and after it."""
     before = _shape(units[i - 1][0]) if i and units[i - 1][2] == units[i][1] else "_"
     after = _shape(units[j][0]) if j < len(units) and units[j][1] == units[j - 1][2] else "_"
+    goes_on = j < len(units) and units[j][0].lower() in ("at", "dot")
+    began = i > 0 and units[i - 1][0].lower() in ("at", "dot")
+    return _segment_slots(text[units[i][1] : units[j - 1][2]], before, after, goes_on, began)
+
+
+@lru_cache(maxsize=1 << 15)
+def _segment_slots(raw: str, before: str, after: str, goes_on: bool, began: bool) -> tuple[int, ...]:
+    inner = _UNIT.findall(raw)
+    shapes = [_shape(u) for u in inner]
+    numbers = [u for u in inner if u.isdigit()]
+    digits = sum(map(len, numbers))
     marks = "".join(sorted({u for u in inner if not u[0].isalnum()}))
     out = [
         f"first={shapes[0]}", f"last={shapes[-1]}", f"before={before}", f"after={after}", f"marks={marks[:6]}", f"digits={min(digits, 20)}",
-        f"numbers={len(numbers)}", f"gaps={min(gaps, 6)}", f"signs={sum(s in _AT for s in map(str.lower, inner))}",
+        f"numbers={len(numbers)}", f"gaps={min(raw.count(' '), 6)}", f"signs={sum(u in _AT for u in map(str.lower, inner))}",
         f"dots={sum(u == '.' or u.lower() == 'dot' for u in inner)}", f"words={min(sum(s in ('w', 'm') for s in shapes), 6)}",
     ]
-    if j < len(units) and _shape(units[j][0]) in ("at", "dot"):
-        out.append("goes on")
-    if i and _shape(units[i - 1][0]) in ("at", "dot"):
-        out.append("began before")
+    out += ["goes on"] * goes_on + ["began before"] * began
     if len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers):
         out.append("octets")
     if digits >= 12 and _luhn("".join(numbers)):
         out.append("luhn")
     if len(inner) <= 9:
         out.append("shape=" + " ".join(shapes))
-    return out
+    return tuple(map(_slot, out))
 
 
 def clusters(text: str) -> Iterator[list[tuple[str, int, int]]]:
@@ -133,7 +136,8 @@ def clusters(text: str) -> Iterator[list[tuple[str, int, int]]]:
 
 
 def _cut(text: str, low: int, high: int) -> Iterator[list[tuple[str, int, int]]]:
-    while low > 0 and text[low - 1].isalnum():
+    floor = max(0, low - _REACH)  # a word longer than that is taken from its middle
+    while low > floor and text[low - 1].isalnum():
         low -= 1
     units = [(m[0], *m.span()) for m in _UNIT.finditer(text, low, high)]
     for at in range(0, len(units), _CLUSTER):
@@ -156,6 +160,8 @@ def candidates(units: list[tuple[str, int, int]], text: str) -> list[tuple[int,
             if j - 1 > i and units[j - 1][1] - units[j - 2][2] > 1 or units[j - 1][1] in lines and j - 1 > i:
                 break
             total, signs = total + digits[j - 1], signs + sign[j - 1]
+            if total > MOST_DIGITS:
+                break
             if (total >= 7 or signs == 1) and units[j - 1][0][-1].isalnum() and (j - i > 1 or total >= 12) and any(hot[i:j]):
                 out.append((i, j))
     return out
@@ -171,10 +177,6 @@ def _slot(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % _SLOTS
 
 
-def _slots(names: list[str]) -> list[int]:
-    return [_slot(n) for n in names]
-
-
 def _log_sum(values: list[float]) -> float:
     top = max(values)
     return top + float(np.log(np.exp(np.array(values) - top).sum()))
@@ -186,8 +188,8 @@ class Field:
     def __init__(self, weights: np.ndarray | None = None, bias: float = -2.0):
         self.weights, self.bias = np.zeros((len(KINDS), _SLOTS), np.float32) if weights is None else weights, bias
 
-    def scores(self, slots: list[list[int]]) -> np.ndarray:
-        return np.array([self.weights[:, s].sum(1) for s in slots], float).reshape(-1, len(KINDS)) + self.bias
+    def scores(self, slots: list[tuple[int, ...]]) -> np.ndarray:
+        return np.array([self.weights[:, list(s)].sum(1) for s in slots], float).reshape(-1, len(KINDS)) + self.bias
 
     def best(self, n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
         """The highest-scoring set of non-overlapping segments with types."""
@@ -239,8 +241,9 @@ class Field:
                     p[k, kind] += 1
                 for k in np.flatnonzero(np.abs(p).max(1) > 1e-3).tolist():
                     g = p[k][:, None]
-                    seen[:, slots[k]] += g * g
-                    self.weights[:, slots[k]] += rate * g / np.sqrt(seen[:, slots[k]])
+                    at = list(slots[k])
+                    seen[:, at] += g * g
+                    self.weights[:, at] += rate * g / np.sqrt(seen[:, at])
         return self
 
     def added(self, text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
@@ -251,7 +254,7 @@ class Field:
             if taken:
                 segments = [(i, j) for i, j in segments if not any(a < units[j - 1][2] and units[i][1] < b for a, b in taken)]
             if segments:
-                scores = self.scores([_slots(_features(units, i, j, text)) for i, j in segments])
+                scores = self.scores([segment_slots(units, i, j, text) for i, j in segments])
                 out += [(KINDS[kind], units[i][1], units[j - 1][2]) for i, j, kind in self.best(len(units), segments, scores)]
         return out
 
@@ -283,7 +286,7 @@ def _example(text: str, gold: list[tuple[str, int, int]]) -> list:
         index = {(units[i][1], units[j - 1][2]): k for k, (i, j) in enumerate(segments)}
         if segments:
             right = {index[(a, b)]: KINDS.index(kind) for kind, a, b in gold if (a, b) in index}
-            out.append((units, segments, [_slots(_features(units, i, j, text)) for i, j in segments], right))
+            out.append((units, segments, [segment_slots(units, i, j, text) for i, j in segments], right))
     return out
 
 
