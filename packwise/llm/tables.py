@@ -34,7 +34,7 @@ def texts_of(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most_bytes`, so that working arrays stay small whatever the text lengths."""
     for batch in batches:
         if not batch.num_rows:
