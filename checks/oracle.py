@@ -979,6 +979,14 @@ SELECT inspection_id, coalesce(user_id, inspector_id) AS user_id, annotated_imag
 # ------------------------------------------------------------------ search
 ORACLE["f8_status_filter"] = "SELECT insp_no, status FROM rec WHERE status = 'REVIEW'"
 ORACLE["f8b_inspector_filter"] = "SELECT insp_no, user_no FROM rec WHERE user_no = 11"
+BLOCKS["owners"] = """
+SELECT insp_no, CASE WHEN insp_no % 3 <> 0 THEN printf('00000000-0000-0000-0000-%012d', CAST(user_no AS BIGINT)) END AS user_id,
+  CASE WHEN insp_no % 2 = 0 THEN 'i' || CAST(user_no % 5 AS VARCHAR) ELSE '' END AS inspector_id FROM rec"""
+ORACLE["f8b_inspector_or_owner"] = """
+SELECT insp_no, 'account' AS form FROM owners WHERE user_id = '00000000-0000-0000-0000-000000000011'
+UNION ALL SELECT insp_no, 'no account' FROM owners
+UNION ALL SELECT insp_no, 'inspector' FROM owners WHERE inspector_id = 'i3' OR (inspector_id = '' AND user_id = 'i3')
+UNION ALL SELECT insp_no, 'owner' FROM owners WHERE inspector_id = '' AND user_id = '00000000-0000-0000-0000-000000000011'"""
 ORACLE["f9_name_wildcard_search"] = "SELECT insp_no, product_name FROM rec WHERE product_name ILIKE '%duct_1%'"
 ORACLE["f9_name_or_id_search"] = (
     "SELECT insp_no, product_name FROM rec WHERE contains(lower(coalesce(product_name, '')), 'ct 1') OR contains(lower(inspection_id), 'ct 1')"

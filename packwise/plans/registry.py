@@ -788,6 +788,23 @@ def _(spark, folder):
     return saved(spark, folder).where(search.owned_by(11, "user_no")).select("insp_no", "user_no")
 
 
+@query("f8b_inspector_or_owner")
+def _(spark, folder):
+    """Both forms of the filter: by account id, which has to be a UUID, and by inspector or else owner."""
+    owners = saved(spark, folder).select(
+        "insp_no",
+        F.when(F.col("insp_no") % 3 != 0, F.format_string("00000000-0000-0000-0000-%012d", F.col("user_no").cast("long"))).alias("user_id"),
+        F.when(F.col("insp_no") % 2 == 0, F.concat(F.lit("i"), (F.col("user_no") % 5).cast("string"))).otherwise("").alias("inspector_id"),
+    )
+    account = "00000000-0000-0000-0000-000000000011"
+    forms = {
+        "account": search.owned_by_account(account, "user_id"), "no account": search.owned_by_account("i3", "user_id"),
+        "inspector": search.inspected_by("i3"), "owner": search.inspected_by(account),
+    }
+    each = F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in forms.items()])))
+    return owners.select("insp_no", each.alias("form"))
+
+
 @query("f9_name_wildcard_search")
 def _(spark, folder):
     return saved(spark, folder).where(search.name_like("duct_1")).select("insp_no", "product_name")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
+
 
 def visible_to(requester: str | int | None, admin: bool, owners: list[str]) -> Column:
     """Admins and anonymous service calls see everything, others what they own."""
@@ -24,6 +28,17 @@ def owned_by(owner_id: str | int | None, owner: str) -> Column:
     return F.lit(True) if owner_id is None else F.col(owner) == owner_id
 
 
+def owned_by_account(owner_id: str | None, owner: str) -> Column:
+    """Stored accounts are UUIDs: any other id does not filter."""
+    return F.col(owner) == owner_id if owner_id and re.search(V.UUID_SHAPE, owner_id) else F.lit(True)
+
+
+def inspected_by(inspector_id: str | None, inspector: str = "inspector_id", owner: str = "user_id") -> Column:
+    """The inspector of a record, or its owner where no inspector is named."""
+    named = F.coalesce(F.nullif(F.col(inspector), F.lit("")), F.col(owner))
+    return F.lit(True) if not inspector_id else F.coalesce(named == inspector_id, F.lit(False))
+
+
 def name_like(search: str | None) -> Column:
     """Stored-record search: product name only, % and _ are wildcards."""
     return F.lit(True) if not search else F.col("product_name").ilike(f"%{search}%")
