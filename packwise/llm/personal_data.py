@@ -73,13 +73,13 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 # --- segments and features -------------------------------------------------------------------------------------------
 
 #: Starts of clusters worth a search; everything else is outside of any segment.
-_TRIGGER = re.compile(r"[0-9]{2}|@|[\[({]at[\])}]| dot ")
+_TRIGGER = re.compile(r"[0-9]{2}|@|[\[({](?i:at)[\])}]| (?i:dot) ")
 _UNIT = re.compile(r"[^\W_]+|[^\w\s]|_")
 _AT = frozenset(["@", "at"])
 MOST_UNITS = 14  # units of the longest segment
 MOST_DIGITS = 20  # digits of the longest
 _REACH = 60  # characters around a trigger
-_CLUSTER = 400  # units of one dynamic program; longer runs are cut between two of them
+_CLUSTER = 400  # units whose segments are listed and scored at a time; the dynamic program goes on over whole runs
 
 
 @lru_cache(maxsize=1 << 16)
@@ -139,20 +139,29 @@ def _cut(text: str, low: int, high: int) -> Iterator[list[tuple[str, int, int]]]
     floor = max(0, low - _REACH)  # a word longer than that is taken from its middle
     while low > floor and text[low - 1].isalnum():
         low -= 1
-    units = [(m[0], *m.span()) for m in _UNIT.finditer(text, low, high)]
-    for at in range(0, len(units), _CLUSTER):
-        yield units[at : at + _CLUSTER]
+    yield [(m[0], *m.span()) for m in _UNIT.finditer(text, low, high)]
 
 
 def candidates(units: list[tuple[str, int, int]], text: str) -> list[tuple[int, int]]:
-    """Segments that could be personal data: digits or a sign inside, on one line, no wide gap, at most MOST_UNITS units."""
-    out = []
+    return [segment for block in candidate_blocks(units, text) for segment in block]
+
+
+def candidate_blocks(units: list[tuple[str, int, int]], text: str) -> Iterator[list[tuple[int, int]]]:
+    """By start, in blocks of _CLUSTER starts: segments that could be personal data: digits or a sign inside, on one line, no wide gap, at most MOST_UNITS units."""
     lines = {a for _, a, _ in units if a and text[a - 1] == "\n"}
     digits = [len(u) if u.isdigit() else 0 for u, _, _ in units]
-    spelt = any(u == "dot" for u, _, _ in units)
-    sign = [u == "@" or (u == "at" and (spelt or (k > 0 and units[k - 1][0] in "[({"))) for k, (u, _, _) in enumerate(units)]
+    signs_at = [k for k, (u, _, _) in enumerate(units) if u.lower() == "dot"]
+    near_dot = np.zeros(len(units), bool)  # a spelt-out dot within _CLUSTER units
+    for k in signs_at:
+        near_dot[max(0, k - _CLUSTER) : k + _CLUSTER] = True
+    spelt = near_dot.tolist()
+    sign = [u == "@" or (u.lower() == "at" and (spelt[k] or (k > 0 and units[k - 1][0] in "[({"))) for k, (u, _, _) in enumerate(units)]
     hot = [d >= 2 or s for d, s in zip(digits, sign, strict=True)]
+    out = []
     for i, (unit, _, _) in enumerate(units):
+        if i % _CLUSTER == 0 and out:
+            yield out
+            out = []
         if not (unit[0].isalnum() or unit in "+(["):
             continue
         total = signs = 0
@@ -164,7 +173,8 @@ def candidates(units: list[tuple[str, int, int]], text: str) -> list[tuple[int,
                 break
             if (total >= 7 or signs == 1) and units[j - 1][0][-1].isalnum() and (j - i > 1 or total >= 12) and any(hot[i:j]):
                 out.append((i, j))
-    return out
+    if out:
+        yield out
 
 
 # --- the model -------------------------------------------------------------------------------------------------------
@@ -182,6 +192,28 @@ def _log_sum(values: list[float]) -> float:
     return top + float(np.log(np.exp(np.array(values) - top).sum()))
 
 
+def _best(n: int, useful: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """The highest-scoring non-overlapping (start, end, kind) of segments (start, end, kind, score) above 0."""
+    ends: dict[int, list[int]] = {}
+    for k, (_, j, _, _) in enumerate(useful):
+        ends.setdefault(j, []).append(k)
+    value, back = [0.0] * (n + 1), [-1] * (n + 1)
+    for j in range(1, n + 1):
+        value[j] = value[j - 1]
+        for k in ends.get(j, ()):
+            v = value[useful[k][0]] + useful[k][3]
+            if v > value[j]:
+                value[j], back[j] = v, k
+    out, j = [], n
+    while j > 0:
+        if back[j] < 0:
+            j -= 1
+        else:
+            out.append(useful[back[j]][:3])
+            j = useful[back[j]][0]
+    return out[::-1]
+
+
 class Field:
     """weights: (kinds, feature slots). A segment of a kind scores the sum of its features; units outside score 0."""
 
@@ -193,25 +225,8 @@ class Field:
 
     def best(self, n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
         """The highest-scoring set of non-overlapping segments with types."""
-        ends: dict[int, list[int]] = {}
         kind, top = scores.argmax(1), scores.max(1)
-        for k in np.flatnonzero(top > 0).tolist():
-            ends.setdefault(segments[k][1], []).append(k)
-        value, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for k in ends.get(j, ()):
-                v = value[segments[k][0]] + float(top[k])
-                if v > value[j]:
-                    value[j], back[j] = v, k
-        out, j = [], n
-        while j > 0:
-            if back[j] < 0:
-                j -= 1
-            else:
-                out.append((*segments[back[j]], int(kind[back[j]])))
-                j = segments[back[j]][0]
-        return out[::-1]
+        return _best(n, [(*segments[k], int(kind[k]), float(top[k])) for k in np.flatnonzero(top > 0).tolist()])
 
     def expected(self, n: int, segments: list[tuple[int, int]], scores: np.ndarray) -> np.ndarray:
         """Probability of each (segment, kind), by sums over all segmentations."""
@@ -248,14 +263,20 @@ class Field:
 
     def added(self, text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
         taken = sorted(s for spans in base.values() for s in spans)
+        starts = np.array([a for a, _ in taken], np.int64)
+        reach = np.maximum.accumulate(np.array([b for _, b in taken], np.int64)) if taken else starts
         out = []
         for units in clusters(text):
-            segments = candidates(units, text)
-            if taken:
-                segments = [(i, j) for i, j in segments if not any(a < units[j - 1][2] and units[i][1] < b for a, b in taken)]
-            if segments:
-                scores = self.scores([segment_slots(units, i, j, text) for i, j in segments])
-                out += [(KINDS[kind], units[i][1], units[j - 1][2]) for i, j, kind in self.best(len(units), segments, scores)]
+            useful = []
+            for segments in candidate_blocks(units, text):
+                if taken:  # no span that starts before the segment's end goes beyond its start
+                    before = np.searchsorted(starts, [units[j - 1][2] for _, j in segments])
+                    segments = [s for s, k in zip(segments, before.tolist(), strict=True) if not k or reach[k - 1] <= units[s[0]][1]]
+                if segments:
+                    scores = self.scores([segment_slots(units, i, j, text) for i, j in segments])
+                    kind, top = scores.argmax(1), scores.max(1)
+                    useful += [(*segments[k], int(kind[k]), float(top[k])) for k in np.flatnonzero(top > 0).tolist()]
+            out += [(KINDS[kind], units[i][1], units[j - 1][2]) for i, j, kind in _best(len(units), useful)]
         return out
 
 

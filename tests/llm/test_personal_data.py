@@ -62,3 +62,15 @@ def test_odd_rows_and_redaction(spark):
         (1, "", "a"), (2, "", ""), (3, "mail [EMAIL], ip [IP]!", "x"), (3, "mail [EMAIL], ip [IP]!", "x"),
     ]
     assert pd_.found(docs.limit(0), ["doc_id"]).count() == 0
+
+
+def test_no_cut_in_long_runs_and_signs_in_any_case(spark):
+    field = pd_.train(spark.read.parquet(f"{SMALL}/documents.parquet"), "text")
+    value = "bob.lee at example dot com"
+    for before in range(385, 403):  # the form moves over the places where runs were cut
+        text = "x12 " * before + f"write to {value} today " + "x12 " * 30
+        at = text.index(value)
+        assert ("email", at, at + len(value)) in field.added(text, pd_.base_spans(text)), before
+    for text in ("BOB AT EXAMPLE DOT COM", "bob [AT] example"):
+        units = [u for u in pd_.clusters(text)]
+        assert units and any(text[u[i][1] : u[j - 1][2]] == text for u in units for i, j in pd_.candidates(u, text)), text
