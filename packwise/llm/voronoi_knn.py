@@ -8,7 +8,8 @@ a query q with a vector x at distance d from c lies within
 
     p.c - r |c| - |q| d   and   p.c + r |c| + |q| d .
 
-Adding up counts from the best lower bounds gives, for each query cell, a score that at least k + 1 vectors reach; a ring
+Adding up counts from the best lower bounds gives, for each query cell, a score that at least k vectors reach besides
+all rows that may share the query's id; a ring
 whose upper bound is below it cannot hold an answer. Vectors of the remaining rings are sent to the query groups that need
 them. Small query cells share a group, large ones are dealt to chunks, the data of a group to blocks; each (group, chunk,
 block) is solved by matrix products, and the best k of all blocks are merged. Sample and sizes change the work, never the
@@ -16,9 +17,10 @@ answer.
 
 Defined cases: vectors that are null, empty of values, or hold null or non-finite components take no part; shorter vectors
 count as if zeros followed; equal scores go to the smaller id; the query's own row (by id) is no candidate; fewer than k
-candidates are all returned; ids may repeat, each row is a candidate. Components are at most 2^31 in size after scaling
-(larger ones take no part), so scores fit 64 bits up to 2 components and, in practice, far beyond: a product sum that
-would leave 64 bits raises an error.
+candidates are all returned; ids may repeat: each row is a candidate of other ids, and the pairs of all query rows of one
+id are ranked together, as in the SQL. Scaled components are whole doubles of any size; products that could leave 64 bits
+are computed exactly, and an answer whose score leaves them raises an error, as does a finite component that is no longer
+finite after scaling.
 """
 
 from __future__ import annotations
@@ -40,10 +42,16 @@ _RINGS = 64
 
 def integer_vectors(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     """(id, v): vectors that take part, as integers."""
-    scaled = F.transform(F.col(vector), lambda x: x.cast("double") * scale)
-    good = F.forall("w", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= float(2**31)))
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), scaled.alias("w")).where(F.col("w").isNotNull() & F.col("id").isNotNull())
-    return rows.where(good).select("id", F.transform("w", lambda x: F.floor(x)).alias("v"))
+    given = F.transform(F.col(vector), lambda x: x.cast("double"))
+    good = F.forall("w", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), given.alias("w")).where(F.col("w").isNotNull() & F.col("id").isNotNull())
+
+    def whole(x: Column) -> Column:  # doubles from 2^53 on are whole already
+        y = x * scale
+        large = F.when(F.abs(y) < float("inf"), y).otherwise(F.raise_error(F.lit("a scaled component leaves the doubles")).cast("double"))
+        return F.when(F.abs(y) < float(2**53), F.floor(y).cast("double")).otherwise(large)
+
+    return rows.where(good).select("id", F.transform("w", whole).alias("v"))
 
 
 def matrix(lists: pa.Array, dims: int) -> np.ndarray:
@@ -92,8 +100,9 @@ class Plan:
     blocks: np.ndarray
 
 
-def plan_groups(pivots: np.ndarray, data: list, queries: list, k: int, chunk: int, block: int) -> Plan:
-    """data: rows (cell, ring, n, far) and queries: rows (cell, n, far, length), one for each cell (and ring)."""
+def plan_groups(pivots: np.ndarray, data: list, queries: list, k: int, chunk: int, block: int, own: dict[int, int] | None = None) -> Plan:
+    """data: rows (cell, ring, n, far) and queries: rows (cell, n, far, length), one for each cell (and ring).
+    own: by query cell, the most rows that share the id of one of its queries (1 where missing)."""
     length = np.linalg.norm(pivots, axis=1)
     cell = np.array([r.cell for r in data], np.int64)
     n, far = np.array([r.n for r in data], np.int64), np.array([r.far for r in data])
@@ -112,12 +121,12 @@ def plan_groups(pivots: np.ndarray, data: list, queries: list, k: int, chunk: in
         middle = pivots[q.cell] @ pivots[cell].T
         slack = q.far * length[cell] + q.length * far
         # distances and products are rounded: keep a margin far above that error
-        slack = slack * (1 + 1e-6) + 1e-6 * np.abs(middle) + 1e-3
+        slack = slack * (1 + 1e-6) + 1e-6 * np.abs(middle) + 1e-9 * length[q.cell] * length[cell] + 1e-3
         low, high = middle - slack, middle + slack
         order = np.argsort(-low)
-        reached = np.searchsorted(np.cumsum(n[order]), k + 1)
+        reached = np.searchsorted(np.cumsum(n[order]), k + (own or {}).get(int(q.cell), 1))
         least = low[order][reached] if reached < len(order) else -np.inf
-        needed[group[q.cell]] |= high >= least
+        needed[group[q.cell]] |= ~(high < least)  # bounds that are no numbers prune nothing
     blocks = np.maximum(1, -(-(needed @ n) // block)) if len(chunks) else np.zeros(0, np.int64)
     needs = {(int(r.cell), int(r.ring)): np.flatnonzero(needed[:, i]) for i, r in enumerate(data)}
     return Plan(needs, group, np.array(chunks, np.int64), blocks)
@@ -126,25 +135,30 @@ def plan_groups(pivots: np.ndarray, data: list, queries: list, k: int, chunk: in
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of the k best rows for each query, without the query's own."""
     top = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1])
-    if top >= 2.0**63:
-        raise OverflowError("inner products leave 64 bits")
-    if top < 2.0**53:  # every partial sum is exact in doubles
+    if not top < 2.0**63:  # whole numbers without a greatest size
+        whole = np.frompyfunc(int, 1, 1)
+        scores = whole(q).dot(whole(x).T)
+    elif top < 2.0**53:  # every partial sum is exact in doubles
         scores = (q @ x.T).astype(np.int64)
     else:
         scores = q.astype(np.int64) @ x.astype(np.int64).T
     order = np.argsort(ids, kind="stable")
+    exact = scores.dtype == object
     ids, scores = ids[order], scores[:, order]
     out = [], [], []
     for i, own in enumerate(q_ids.tolist()):
         s = scores[i]
         ok = np.flatnonzero(ids != own)
-        if len(ok) > k:
+        if len(ok) > k and not exact:
             edge = np.partition(s[ok], len(ok) - k)[len(ok) - k]
             ok = ok[s[ok] >= edge]
-        ok = ok[np.lexsort((ids[ok], -s[ok]))][:k]
+        ok = ok[sorted(range(len(ok)), key=lambda j, s=s, ok=ok: (-s[ok[j]], ids[ok[j]]))] if exact else ok[np.lexsort((ids[ok], -s[ok]))]
+        ok = ok[:k]
+        if exact and any(not -(2**63) <= v < 2**63 for v in s[ok]):
+            raise OverflowError("inner products leave 64 bits")
         out[0].append(np.full(len(ok), own))
         out[1].append(ids[ok])
-        out[2].append(s[ok])
+        out[2].append(s[ok].astype(np.int64))
     return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
 
 
@@ -152,7 +166,7 @@ def top_k(
     vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, pivots: int = 64,
     pivot_sample: int = 4096, chunk: int = 1024, block: int = 4096,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k rows of highest integer inner product for each query row. is_query is an
+    """query_id, rank, vec_id, score: the k pairs of highest integer inner product for each query id. is_query is an
     expression over `id`."""
     rows = staged(integer_vectors(vectors, vec_id, vector, scale))
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
@@ -160,7 +174,7 @@ def top_k(
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
-    centres = fit_pivots(matrix(pa.array([r.v for r in sample], pa.list_(pa.int64())), dims), pivots)
+    centres = fit_pivots(matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())), dims), pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,12 +186,14 @@ def top_k(
             )
 
     placed = rows.withColumn("query", is_query).mapInArrow(
-        assign, "id bigint, v array<bigint>, query boolean, cell bigint, far double, ring bigint, length double"
+        assign, "id bigint, v array<double>, query boolean, cell bigint, far double, ring bigint, length double"
     )
     placed = staged(placed)
     data = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
     asked = placed.where("query").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("length").alias("length")).collect()
-    plan = plan_groups(centres, data, asked, k, chunk, block)
+    repeated = placed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    own = placed.where("query").join(repeated, "id").groupBy("cell").agg(F.max("n").alias("n")).collect()
+    plan = plan_groups(centres, data, asked, k, chunk, block, {r.cell: r.n for r in own})
     needs, group, chunks, blocks = plan.needs, plan.group, plan.chunks, plan.blocks
     if not len(chunks):
         return vectors.sparkSession.createDataFrame([], schema)
@@ -205,13 +221,13 @@ def top_k(
 
         return run
 
-    dealt = "g bigint, c bigint, s bigint, id bigint, v array<bigint>"
+    dealt = "g bigint, c bigint, s bigint, id bigint, v array<double>"
     asked_rows = placed.where("query").select("id", "v", "cell", "ring").mapInArrow(deal(True), dealt)
     data_rows = placed.select("id", "v", "cell", "ring").mapInArrow(deal(False), dealt)
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         def dense(v: pd.Series) -> np.ndarray:
-            return matrix(pa.array(list(v), pa.list_(pa.int64())), dims)
+            return matrix(pa.array(list(v), pa.list_(pa.float64())), dims)
 
         found = best_of(q["id"].to_numpy(), dense(q["v"]), x["id"].to_numpy(), dense(x["v"]), k) if len(q) and len(x) else [np.empty(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))

@@ -58,3 +58,25 @@ def test_odd_vectors(spark):
     assert [x[2] for x in byq if x[0] == 100] == [0, 5, 7, 7, 6]
     assert voronoi_knn.top_k(frame.limit(0), F.col("id") % 100 == 0).count() == 0
     assert voronoi_knn.top_k(frame.where("vec_id = 5"), F.col("id") % 100 == 0).count() == 0
+
+
+def test_rows_with_the_own_id_and_large_vectors(spark):
+    # the query's own id fills the best ring: rings with its answers must not be pruned
+    near = [(0, [100.0, 0.0])] * 8 + [(i, [100.0 - 3 * i, 1.0]) for i in range(1, 12)]
+    far = [(i, [-100.0, float(i)]) for i in range(20, 40)]
+    cells = [_Row(cell=0, ring=0, n=8, far=0.0), _Row(cell=1, ring=0, n=3, far=0.1)]
+    asked = [_Row(cell=0, n=8, far=0.0, length=100.0)]
+    plan = voronoi_knn.plan_groups(np.array([[100.0, 0.0], [50.0, 0.0]]), cells, asked, 3, 10, 10, {0: 8})
+    assert all(len(v) for v in plan.needs.values())
+    large = [(50, [3e9, 0.0]), (51, [-3e9, 5.0]), (52, [8e10, -1.0])]
+    frame = spark.createDataFrame(near + far + large, "vec_id long, embedding array<double>")
+    got = voronoi_knn.top_k(frame, F.col("id") == 1, k=5, pivots=8).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got if r.vec_id} == {
+        x for x in _brute(near + far + large, 5, lambda i: i == 1) if x[2]
+    }
+    assert {52, 50} <= {r.vec_id for r in got}
+    got = voronoi_knn.top_k(frame, F.col("id") == 0, k=3, pivots=8, scale=1).collect()
+    assert {r.vec_id for r in got} == {52}  # eight rows of one id are ranked together, as in the SQL
+    small = spark.createDataFrame(near + far, "vec_id long, embedding array<double>")
+    got = voronoi_knn.top_k(small.where("vec_id <> 0").union(small.where("vec_id = 0").limit(1)), F.col("id") == 0, k=3, pivots=8).collect()
+    assert sorted(r.vec_id for r in got) == [1, 2, 3]
