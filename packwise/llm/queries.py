@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import byte_cnn, decontaminate, licences, near_copies, packing, personal_data, pitman_yor, url_rules, voronoi_knn, warc
+from packwise.llm import byte_cnn, decontaminate, licences, near_copies, packing, personal_data, pitman_yor, token_stream, url_rules, voronoi_knn, warc
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,11 @@ SELECT page_id, type, {_sql_uuid("own_key")} AS record_id, refers_to, uri, '{war
        'sha256:' || sha256(block) AS block_digest, source_digest, CAST(strlen(block) AS BIGINT) AS content_length
 FROM keyed
 """
+
+
+@query
+def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = token_stream.encoded(read(spark, sf_dir, "documents"), ["doc_id"], tokenizer=word_tokenizer())
+    coded = coded.select("doc.doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
+    texts = token_stream.decoded(coded, ["doc_id", "n_tokens", "ids_sha256"], tokenizer=word_tokenizer())
+    return texts.select("doc.doc_id", "doc.n_tokens", "doc.ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
