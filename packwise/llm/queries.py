@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import byte_cnn, decontaminate, licences, near_copies, packing, personal_data, pitman_yor, token_stream, url_rules, voronoi_knn, warc
+from packwise.llm import byte_cnn, decontaminate, licences, near_copies, packing, personal_data, pitman_yor, token_stream, url_rules, vector_codes, voronoi_knn, warc
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,62 @@ def op13_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = coded.select("doc.doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"))
     texts = token_stream.decoded(coded, ["doc_id", "n_tokens", "ids_sha256"], tokenizer=word_tokenizer())
     return texts.select("doc.doc_id", "doc.n_tokens", "doc.ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.coded(read(spark, sf_dir, "embeddings"), ["vec_id", "label"])
+    codes = codes.select("doc.vec_id", "doc.label", "code", "error")
+    total = codes.groupBy(F.col("label").alias("own_label")).agg(F.sum(F.col("error").cast("decimal(38,0)")).cast("long").alias("label_error"))
+    digest = F.lit(None if books is None else vector_codes.digest_of(books)).cast("string")
+    joined = codes.join(total, F.col("label").eqNullSafe(F.col("own_label")))
+    return joined.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def _sql_codes(entries: int = 256, parts: int = 4, rounds: int = 4) -> str:
+    """Plain rounds of a full search."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), cut AS MATERIALIZED (
+  SELECT r, p, list_slice(v, CAST(p * len(v) // {parts} + 1 AS BIGINT), CAST((p + 1) * len(v) // {parts} AS BIGINT)) AS x FROM kept, range({parts}) t(p)
+), seeds AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept WHERE vec_id IS NOT NULL ORDER BY e LIMIT {entries}
+), book0 AS MATERIALIZED (SELECT p, e, x AS c FROM cut JOIN seeds USING (r))"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (
+  SELECT r, p, arg_min(e, d * 1000 + e) AS e, min(d) AS d
+  FROM (SELECT r, cut.p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d
+        FROM cut JOIN book{k} b ON cut.p = b.p)
+  GROUP BY r, p
+)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""sums{k} AS (
+  SELECT p, e, i, sum(x[i]) AS s, count(*) AS n FROM near{k} JOIN cut USING (r, p), range(1, len(x) + 1) t(i) GROUP BY p, e, i
+), book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c
+  FROM book{k} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM sums{k} GROUP BY p, e
+  ) m ON b.p = m.p AND b.e = m.e
+)"""
+            )
+    steps.append(
+        f"""coded AS (
+  SELECT r, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)"""
+    )
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 "
+        "FROM kept JOIN coded USING (r), digest"
+    )
+
+
+SQL["op12_vector_codes"] = _sql_codes()

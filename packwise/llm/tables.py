@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from packwise.session import staged
+from packwise.session import shared_folder, staged
 
-__all__ = ["ascii_lower", "crc_bucket", "read", "rows_of", "staged", "texts_of"]
+__all__ = ["TwoPlaces", "ascii_lower", "crc_bucket", "read", "rows_of", "smallest", "staged", "texts_of", "whole_vector"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +28,36 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def whole_vector(column: str, scale: int) -> Column:
+    """floor(scale * x) of each component, as doubles (from 2^53 on they are whole already); null where the vector is null or
+    empty or a component is null or not finite, before or after scaling."""
+    given = F.transform(F.col(column), lambda x: x.cast("double") * scale)
+    finite = F.forall(given, lambda y: F.coalesce(~F.isnan(y) & (F.abs(y) < float("inf")), F.lit(False)))
+    whole = F.transform(given, lambda y: F.when(F.abs(y) < float(2**53), F.floor(y).cast("double")).otherwise(y))
+    return F.when((F.size(F.col(column)) > 0) & finite, whole)
+
+
+def smallest(df: DataFrame, order: list, k: int, spread: int = 8) -> DataFrame:
+    """The first k rows by `order`. Every task passes on k rows, `spread` tasks merge those, and only their spread * k rows
+    meet at the end: what the driver sees does not grow with the number of partitions."""
+    own = Window.partitionBy("spread__").orderBy(*order)
+    some = df.withColumn("spread__", F.spark_partition_id() % spread).withColumn("place__", F.row_number().over(own))
+    return some.where(F.col("place__") <= k).drop("spread__", "place__").orderBy(*order).limit(k)
+
+
+class TwoPlaces:
+    """Staged results of rounds, written in turn to two folders: a round reads the one and overwrites the other."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.turn = spark, 0
+        self.base = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, self.turn = f"{self.base}-{self.turn % 2}", self.turn + 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A text column as large strings without nulls (null counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
