@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwise.llm import byte_cnn, decontaminate, licences, near_copies, packing, personal_data, pitman_yor, token_stream, url_rules, vector_codes, voronoi_knn, warc
+from packwise.llm import byte_cnn, decontaminate, hard_negatives, licences, near_copies, packing, personal_data, pitman_yor, token_stream, url_rules, vector_codes, voronoi_knn, warc
 from packwise.llm.tables import crc_bucket, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,3 +297,31 @@ def _sql_codes(entries: int = 256, parts: int = 4, rounds: int = 4) -> str:
 
 
 SQL["op12_vector_codes"] = _sql_codes()
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), F.col("id") % 100 == 0)
+
+
+SQL["op11_hard_negatives"] = """
+WITH ints AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.uid, a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same,
+         CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ints a JOIN ints d ON a.vec_id % 100 = 0 AND d.uid <> a.uid
+), positives AS (
+  SELECT uid, anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.uid, p.positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.uid = n.uid AND NOT n.same AND 80 * p.positive_score <= 100 * n.score AND 100 * n.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+"""
