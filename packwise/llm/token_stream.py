@@ -45,6 +45,7 @@ _ODD_BLANKS = re.compile("[\x1c-\x1f]")  # blanks for str.split, but not for the
 _BLANK = re.compile(r"[ \t\n\r]")
 _WITH_SIGNS = re.compile(r"(.*[A-Za-z0-9])([.,;:!?|#$%&*]+)", re.DOTALL)  # always cut before these signs, and none begins a word with letters
 _MASK, _NO_RULE = (1 << 20) - 1, 1 << 62
+_SHORT, _ENTRY = 48, 200  # characters of words entered together; bytes that an entry of the table takes besides its word
 WINDOW = 1 << 18  # characters of a text that are looked at together
 SLICE = 2048  # characters of a long word that are normalised together
 
@@ -90,6 +91,9 @@ class Merges:
         prefix = model.get("continuing_subword_prefix") or ""
         # (left << 20 | right) -> (rank << 20 | made): one number orders rules by rank
         self.rules = {vocab[u] << 20 | vocab[v]: rank << 20 | vocab[u + v.removeprefix(prefix)] for rank, (u, v) in enumerate(pairs)}
+        order = np.argsort(np.fromiter(self.rules, np.int64, len(self.rules)))
+        self.pairs = np.fromiter(self.rules, np.int64, len(self.rules))[order]
+        self.made = np.fromiter(self.rules.values(), np.int64, len(self.rules))[order]
         letters = byte_letters()
         self.plain = [vocab[c] for c in letters]
         self.final = [vocab[c + suffix] for c in letters]
@@ -120,6 +124,49 @@ class Merges:
             right[made], length[made] = v, length[u] + length[v]
         return most, max(length.values())
 
+    def merged_many(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many whole words at once (bytes of all, bytes of each), and the number of ids of each. All words take
+        their lowest rule in step; runs of overlapping places merge every second pair, from the left."""
+        ends = np.cumsum(sizes)
+        symbols, word = np.array(self.plain)[data], np.repeat(np.arange(len(sizes)), sizes)
+        symbols[ends - 1] = np.array(self.final)[data[ends - 1]]
+        inside = word[1:] == word[:-1]
+        rules = np.full(len(symbols), _NO_RULE)  # of each symbol with its right neighbour
+        rules[:-1][inside] = self._rules_of(symbols[:-1][inside], symbols[1:][inside])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            lengths = np.diff(np.append(starts, len(word)))
+            lowest = np.repeat(np.minimum.reduceat(rules, starts), lengths)
+            ready = lowest == _NO_RULE
+            if ready.any():
+                done.append((word[ready], symbols[ready]))
+                symbols, word, rules, lowest = symbols[~ready], word[~ready], rules[~ready], lowest[~ready]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(rules == lowest)
+            run = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            symbols[at] = rules[at] & _MASK
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            at = (np.cumsum(keep) - 1)[at]
+            symbols, word, rules = symbols[keep], word[keep], rules[keep]
+            again = np.zeros(len(word), bool)  # places whose pair is a new one
+            again[at] = again[at[at > 0] - 1] = True
+            rules[again] = _NO_RULE
+            again = np.flatnonzero(again[:-1] & (word[1:] == word[:-1]))
+            rules[again] = self._rules_of(symbols[again], symbols[again + 1])
+        if not done:
+            return np.empty(0, np.int64), np.zeros(len(sizes), np.int64)
+        word, symbols = (np.concatenate(c) for c in zip(*done))
+        return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(sizes))
+
+    def _rules_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pairs = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pairs, self.made[at], _NO_RULE)
+
     def merged(self, symbols: list[int]) -> tuple[list[int], list[int]]:
         """What merging by rank, then place, leaves of the symbols, and how many symbols each spans."""
         n, rule_of = len(symbols), self.rules.get
@@ -239,13 +286,54 @@ class Encoder(dict):
         if len(word) > SLICE:
             return b"".join(self.long_word(word))
         ids = self._short(word)
-        self.held += 200 + 2 * len(word) + len(ids)  # about what an entry takes
+        self.held += _ENTRY + 2 * len(word) + len(ids)
         if self.held > self.most_bytes:
             self.clear()
             self.held = 0
         self[word] = ids
         return ids
 
+    def learn(self, texts: list[str]) -> None:
+        """Enter the short words of these texts into the table, all at once. Words the table lacks are encoded one by one."""
+        words: set[str] = set()
+        special, some = self.merges.special, False
+        for text in texts:
+            if not _ODD_BLANKS.search(text):
+                words.update(text.split())
+            some = some or bool(special and special.search(text))
+        words = {w for w in words if w not in self and len(w) <= _SHORT}
+        if some:
+            words = {w for w in words if not special.search(w)}
+        need = sum(map(len, words)) * 4 + _ENTRY * len(words)
+        if self.held + need > self.most_bytes:
+            self.clear()
+            self.held = 0
+            if need > self.most_bytes:
+                return
+        self._enter([w for w in words if w.isascii()])
+        self._enter([w for w in words if not w.isascii()])
+
+    def _enter(self, words: list[str]) -> None:
+        text = self.merges.normalise(" ".join(words))
+        shape, pattern = self.merges.pattern.shape(text), self.merges.pattern.words
+        if not words or text.count(" ") != len(words) - 1:  # a character that only the tokenizer takes for a blank
+            return
+        spans = np.array([m.span() for m in pattern.finditer(shape)], np.int64).reshape(-1, 2)
+        data = np.frombuffer(text.encode(), np.uint8)
+        lead = (data & 0xC0) != 0x80
+        place = np.append(np.flatnonzero(lead), len(data))  # byte of each character
+        starts, ends = place[spans[:, 0]], place[spans[:, 1]]
+        word = np.searchsorted(np.flatnonzero(data == 0x20), starts)
+        used = np.zeros(len(data) + 1, np.int64)
+        np.add.at(used, starts, 1)
+        np.add.at(used, ends, -1)
+        ids, counts = self.merges.merged_many(data[np.cumsum(used)[:-1] > 0], ends - starts)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(word, counts, len(words)).astype(np.int64))]) * 4
+        packed = ids.astype("<u4").tobytes()
+        for w, low, high in zip(words, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            self[w] = packed[low:high]
+            self.held += _ENTRY + 2 * len(w) + high - low
+
     def _parts(self, word: str) -> Iterator[tuple[int, int, int | None]]:
         """Start and end of the parts of a word, and the id of a part that is a special token."""
         at = 0
@@ -400,7 +488,9 @@ def encoded(docs: DataFrame, keep: list[str], *, tokenizer: str, text: str = "te
         encoder = Encoder(merges_of(tokenizer))
         for batch in rows_of(batches):
             rows = batch.column(0)
-            ids = [b"".join(encoder.chunks(t.as_py())) for t in texts_of(rows.field(text))]
+            own = texts_of(rows.field(text)).to_pylist()
+            encoder.learn([t for t in own if len(t) <= WINDOW])
+            ids = [b"".join(encoder.chunks(t)) for t in own]
             doc = pa.StructArray.from_arrays([rows.field(n) for n in names], names=names)
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), counts], names=["doc", "ids", "n_tokens"])

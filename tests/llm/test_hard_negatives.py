@@ -67,8 +67,8 @@ def test_empty_tables_and_text_labels(spark):
 
 def test_ranges_keep_every_row_that_reaches_the_bound():
     rng = np.random.default_rng(9)
-    x = np.floor(256 * rng.normal(size=(500, 12)))
-    rows, anchors, verified = hn.Rows(x, 64), hn.Anchors(np.floor(256 * rng.normal(size=(30, 12))), 4), 0
+    x = np.floor(256 * rng.normal(size=(500, 12)) ** 3)  # a few large coordinates each
+    rows, anchors, verified = hn.Rows(x, 64), hn.Anchors(np.floor(256 * rng.normal(size=(30, 12)) ** 3), 4), 0
     for i in range(30):
         scores = x @ anchors.q[i]
         needed = float(np.sort(scores)[-10])

@@ -123,6 +123,21 @@ def test_both_merging_ways_agree(merges):
         assert both[: len(short)] == short
 
 
+def test_words_entered_together_equal_single_ones(library, merges):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aaabntheri'sé.!İ1") for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    words += ["a" * 47, "<|endoftext|>x", "\u180e", "x\u180ey", "\u0301a", "...", "aa" * 20]
+    for some in (words, words[:1], []):
+        encoder = ts.Encoder(merges)
+        encoder.learn([" ".join(some)])
+        assert len(encoder) >= 0.9 * len(set(some)) - 5
+        for w in some:
+            assert _ids(encoder, w) == library.encode(w, add_special_tokens=False).ids, ascii(w)
+    small = ts.Encoder(merges, most_bytes=5000)
+    small.learn([" ".join(words)])
+    assert not small and _ids(small, words[0]) == library.encode(words[0], add_special_tokens=False).ids
+
+
 def test_decoding_machine_holds_open_characters(merges):
     spec = ts.Decoder(merges)
     spec.joined, spec.known = False, 4
