@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import annotated, rows_of, texts_of
+from packwise.llm.tables import annotated, rows_of, texts_of, tidied
 
 STEP, HALF = 4, 256  # bytes between filter places; bytes of half a chunk
 PLACES = HALF // STEP
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows
     rows = docs.select(F.col(doc_id).alias("id__"), F.col(text).alias("text__")).join(few, "id__")
     rows = rows.select(F.col("id__").cast("string"), "text__", F.pmod(F.xxhash64("id__", F.lit(1)), F.lit(2**31)), "label__")
-    rows = rows.mapInArrow(cut, "id string, label int, raw binary").dropDuplicates(["id"]).collect()
+    rows = rows.mapInArrow(tidied(cut), "id string, label int, raw binary").dropDuplicates(["id"]).collect()
     rows.sort(key=lambda r: r.id)
     y = np.array([r.label for r in rows], np.float32)
     if len(set(y.tolist())) < 2:

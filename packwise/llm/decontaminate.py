@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import annotated, rows_of, staged, texts_of
+from packwise.llm.tables import annotated, rows_of, staged, texts_of, tidied
 from packwise.llm.words import LETTERS_DIGITS, Words, run_of, runs, words_of
 
 
@@ -46,7 +46,7 @@ def item_windows(items: DataFrame, item_id: str, text: str, width: int) -> DataF
             )
 
     chosen = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where(F.col("item").isNotNull())
-    return chosen.mapInArrow(cut, "item string, window bigint, words array<bigint>").dropDuplicates(["item", "window"])
+    return chosen.mapInArrow(tidied(cut), "item string, window bigint, words array<bigint>").dropDuplicates(["item", "window"])
 
 
 @dataclass
@@ -101,7 +101,7 @@ def shingle_counts(docs: DataFrame, text: str, block: Block) -> dict[int, np.nda
             )
 
     out = {k: np.zeros(len(v), np.int64) for k, v in sizes.items()}
-    made = docs.select(text).mapInArrow(count, "size int, slot bigint, n bigint").groupBy("size", "slot").agg(F.sum("n").alias("n"))
+    made = docs.select(text).mapInArrow(tidied(count), "size int, slot bigint, n bigint").groupBy("size", "slot").agg(F.sum("n").alias("n"))
     for r in made.collect():  # at most one row for each shingle of the block
         out[r["size"]][r.slot] = r.n
     return out
@@ -242,4 +242,4 @@ def contamination(
 
     kept = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in found.schema["doc"].dataType) + ">"
     schema = f"doc {kept}, n_words bigint, n_hit bigint, items array<string>, spans array<bigint>, contaminated boolean"
-    return found.mapInArrow(judge, schema)
+    return found.mapInArrow(tidied(judge), schema)

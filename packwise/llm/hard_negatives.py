@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwise.llm.tables import staged, whole_vector
+from packwise.llm.tables import staged, tidied, whole_vector
 from packwise.llm.voronoi_knn import matrix
 
 _MARGIN = 1e-7  # far above rounding errors of cosines
@@ -315,7 +315,7 @@ def mined(
         return pd.DataFrame(made, columns=["uid", "positive_score", "negative_uid", "negative_id", "negative_score"]).astype("int64")
 
     keys = ("block", "chunk")
-    below = asked.mapInArrow(deal, asked_schema).groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
+    below = asked.mapInArrow(tidied(deal), asked_schema).groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
         mine, "uid long, positive_score long, negative_uid long, negative_id long, negative_score long"
     )
     best = Window.partitionBy("uid", "positive_score").orderBy(F.desc("negative_score"), "negative_id", "negative_uid")

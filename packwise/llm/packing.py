@@ -2,10 +2,11 @@
 
 Texts become token pieces of at most `capacity`. Pieces are dealt to partitions of about `part_size`, and best-fit
 decreasing packs each. Dual feasible functions give a lower bound of the bins a partition needs: where it is met, the
-partition is certified and stays as it is. The others have a gap: they close their full bins, exchange the pieces of all
-other bins (dealt anew by bin) and run again, as long as that saves bins.
+partition is certified. As long as all partitions together use more bins than the bound over all pieces asks for, they close their full
+bins, exchange the pieces of all other bins (dealt anew by bin) and run again, until a round saves nothing.
 
-Defined cases: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives no rows.
+Defined cases: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives no rows; a very
+long text is cut into pieces like any other; `doc` holds the kept columns, so no name can clash.
 """
 
 from __future__ import annotations
@@ -22,26 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import rows_of, staged, texts_of
+from packwise.llm.tables import rows_of, staged, texts_of, tidied
 
 _WORDS = re.compile(r"[^ \t\n\r]+")
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")  # blanks for str.split, but not for the tokenizer
-_WITH_MARKS = re.compile(r"([^\W_]+)([.,;:!?|#$%&*]+)")  # the tokenizer always cuts between letters or digits and these
+#: The tokenizer always cuts between a letter or digit and these marks. Only ASCII ones are taken: some other letters are
+#: normalised into a letter and a mark, which joins the marks behind it.
+_WITH_MARKS = re.compile(r"([^\W_]*[A-Za-z0-9])([.,;:!?|#$%&*]+)")
 
 
 class WordIds(dict):
-    """Token ids (as little-endian uint32 bytes) of blank-separated words, which no token spans; emptied when large.
+    """Token ids (as little-endian uint32 bytes) of blank-separated words, which no token spans; emptied when it holds
+    more than `most_bytes`.
     Words that end in marks share the ids of their first part, and ASCII words those of their lower-case form."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+        self.encode, self.most_bytes, self.held = Tokenizer.from_file(path).encode, most_bytes, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > self.most:
-            self.clear()
         parts = _WITH_MARKS.fullmatch(word)
         if parts:
             ids = self[parts[1]] + self[parts[2]]
@@ -50,6 +52,10 @@ class WordIds(dict):
         else:
             found = self.encode(word, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
+        self.held += 200 + 2 * len(word) + len(ids)  # about what an entry takes
+        if self.held > self.most_bytes:
+            self.clear()
+            self.held = 0
         self[word] = ids
         return ids
 
@@ -85,7 +91,7 @@ def token_pieces(docs: DataFrame, keep: list[str], *, tokenizer: str, text: str
                 names=["doc", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else []),
             )
 
-    return inner.mapInArrow(cut, schema)
+    return inner.mapInArrow(tidied(cut), schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -134,13 +140,12 @@ def lower_bound(histogram: np.ndarray, capacity: int) -> int:
     return best
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, part_size: int = 20_000, rounds: int = 4) -> DataFrame:
-    """The pieces with sequence_id, offset, and certified (its partition's bins met their lower bound)."""
-    spark = pieces.sparkSession
+def pack(pieces: DataFrame, *, capacity: int = 2048, part_size: int = 20_000, rounds: int | None = None) -> DataFrame:
+    """The pieces with sequence_id, offset, and certified (its partition's bins, or all together, met their lower bound).
+    Without `rounds`, exchanges end when all bins meet the bound over all pieces or a round saves nothing."""
     pieces = staged(pieces.withColumn("uid__", F.monotonically_increasing_id()))
     columns = [c for c in pieces.columns if c != "uid__"]
-    total = pieces.count()
-    parts = max(1, round(total / part_size))
+    total, least = pieces.count(), sequences_needed(pieces, capacity)
     slim = pieces.select("uid__", F.col("length").cast("long").alias("n"))
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,32 +156,37 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, part_size: int = 20_000, ro
         return pd.DataFrame(
             {
                 "uid__": rows["uid__"], "n": lengths, "part": rows["part"], "bin": bins, "at": offsets,
-                "open": (fill < capacity)[bins] & (used > need), "certified": used == need, "need": need, "used": used,
+                "room": (fill < capacity)[bins], "certified": used == need,
             }
         )
 
-    schema = "uid__ long, n long, part long, bin long, at long, open boolean, certified boolean, need long, used long"
-    dealt = slim.withColumn("part", F.pmod(F.xxhash64("uid__"), F.lit(parts)))
-    state = staged(dealt.groupBy("part").applyInPandas(solve, schema).withColumn("round", F.lit(0)))
-    done, active = [state.where(~F.col("open"))], state.where("open")
-    for k in range(1, rounds + 1):
-        room = active.agg(F.count("*").alias("rows"), F.countDistinct("part", "bin").alias("bins"), F.countDistinct("part").alias("parts")).first()
-        if not room.rows or (room.parts == 1 and k > 1):
-            break
-        again = max(1, round(room.rows / part_size))
-        dealt = active.select("uid__", "n", F.pmod(F.xxhash64("part", "bin", F.lit(k)), F.lit(again)).alias("part"))
-        state = staged(dealt.groupBy("part").applyInPandas(solve, schema).withColumn("round", F.lit(k)))
-        used = state.agg(F.countDistinct("part", "bin").alias("bins")).first().bins
-        if used >= room.bins:  # the exchange saved nothing: what stood stays
+    def solved(slim: DataFrame, many: int, k: int, *dealt_by: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*dealt_by, F.lit(k)), F.lit(max(1, round(many / part_size))))
+        dealt = slim.select("uid__", "n", part.alias("part"))
+        schema = "uid__ long, n long, part long, bin long, at long, room boolean, certified boolean"
+        return staged(dealt.groupBy("part").applyInPandas(solve, schema).withColumn("round", F.lit(k).cast("long")))
+
+    def bins_of(state: DataFrame):
+        return state.groupBy("part", "bin").agg(F.count("*").alias("rows")).agg(F.count("*").alias("bins"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+
+    state = solved(slim, total, 0, "uid__")
+    done, active, closed, k = [state.where(~F.col("room"))], state.where("room"), 0, 0
+    used, open_ = bins_of(state).bins, bins_of(active)
+    while used > least and open_.bins > 1 and (rounds is None or k < rounds):
+        k, closed = k + 1, used - open_.bins
+        state = solved(active, open_.rows, k, "part", "bin")
+        now = closed + bins_of(state).bins
+        if now >= used:  # the exchange saved nothing: what stood stays
             break
-        done.append(state.where(~F.col("open")))
-        active = state.where("open")
+        done, active, used = [*done, state.where(~F.col("room"))], state.where("room"), now
+        open_ = bins_of(active)
     placed = active
     for d in done:
         placed = placed.unionByName(d)
-    # round, partition and bin name a sequence; 2^40 partitions of 2^20 bins at most
-    sequence = F.shiftleft(F.col("part") * (rounds + 1) + F.col("round"), 20) + F.col("bin")
-    placed = placed.select("uid__", sequence.alias("sequence_id"), F.col("at").alias("offset"), "certified")
+    # round, partition and bin name a sequence; 2^32 partitions of 2^20 bins at most
+    sequence = F.shiftleft("round", 52) + F.shiftleft("part", 20) + F.col("bin")
+    certified = F.col("certified") | F.lit(used <= least)
+    placed = placed.select("uid__", sequence.alias("sequence_id"), F.col("at").alias("offset"), certified.alias("certified"))
     return pieces.join(placed, "uid__").select(*columns, "sequence_id", "offset", "certified")
 
 

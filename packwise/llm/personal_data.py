@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import annotated
+from packwise.llm.tables import annotated, tidied
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -182,7 +182,7 @@ def candidate_blocks(units: list[tuple[str, int, int]], text: str) -> Iterator[l
 _SLOTS = 1 << 14
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=1 << 16)
 def _slot(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % _SLOTS
 
@@ -347,7 +347,7 @@ def found(docs: DataFrame, keep: list[str], *, text: str = "text", field: Field
         return {"base": pa.array(base, pa.list_(span)), "added": pa.array(added, pa.list_(span))}
 
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return annotated(docs, text, keep, f"base {kind}, added {kind}", search)
+    return annotated(docs, text, keep, f"base {kind}, added {kind}", search, _shape, _segment_slots, _slot)
 
 
 def redacted(docs: DataFrame, columns: list[str], *, text: str = "text", mark: str = "[{}]") -> DataFrame:
@@ -369,5 +369,5 @@ def redacted(docs: DataFrame, columns: list[str], *, text: str = "text", mark: s
 
     kept = spans.schema["doc"].dataType
     schema = "doc struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kept) + ">, clean string"
-    made = spans.select(F.col(f"doc.`{text}`").alias("t"), "base", "added", "doc").mapInArrow(clean, schema)
+    made = spans.select(F.col(f"doc.`{text}`").alias("t"), "base", "added", "doc").mapInArrow(tidied(clean), schema)
     return made.select(*[F.col("clean").alias(c) if c == text else F.col(f"doc.`{c}`").alias(c) for c in columns])

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from packwise.session import shared_folder, staged
 
-__all__ = ["TwoPlaces", "ascii_lower", "crc_bucket", "read", "rows_of", "smallest", "staged", "texts_of", "whole_vector"]
+__all__ = ["TwoPlaces", "ascii_lower", "crc_bucket", "read", "rows_of", "smallest", "staged", "texts_of", "tidied", "whole_vector"]
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,7 +79,31 @@ def rows_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Ite
             at += part.num_rows
 
 
-def annotated(df: DataFrame, text: str, keep: list[str], fields: str, function) -> DataFrame:
+def give_back() -> None:
+    """Return memory that this process has freed to the system: Arrow's pool, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for mapInArrow; when a task ends, the caches are emptied and its memory goes back, since Python
+    workers live on and wait for other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            for cache in caches:
+                cache.cache_clear()
+            give_back()
+
+    return run
+
+
+def annotated(df: DataFrame, text: str, keep: list[str], fields: str, function, *caches) -> DataFrame:
     """One output row for each input row: `doc` (a struct of the columns in keep, so that no name can clash) and
     the columns of `fields`, which `function` makes from an Arrow array of texts (null: empty)."""
     inner = df.select(F.struct(*dict.fromkeys([*keep, text])).alias("doc"))
@@ -93,4 +118,4 @@ def annotated(df: DataFrame, text: str, keep: list[str], fields: str, function)
             made = function(texts_of(rows.field(text)))
             yield pa.RecordBatch.from_arrays([doc, *made.values()], names=["doc", *made])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidied(run, *caches), schema)

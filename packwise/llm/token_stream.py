@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import rows_of, texts_of
+from packwise.llm.tables import rows_of, texts_of, tidied
 
 _WORDS = re.compile(r"[^ \t\n\r]+")
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")  # blanks for str.split, but not for the tokenizer
@@ -495,7 +495,7 @@ def encoded(docs: DataFrame, keep: list[str], *, tokenizer: str, text: str = "te
             counts = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.binary()), counts], names=["doc", "ids", "n_tokens"])
 
-    return inner.mapInArrow(run, f"{_kept(docs, names)}, ids binary, n_tokens bigint")
+    return inner.mapInArrow(tidied(run), f"{_kept(docs, names)}, ids binary, n_tokens bigint")
 
 
 def decoded(coded: DataFrame, keep: list[str], *, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -511,4 +511,4 @@ def decoded(coded: DataFrame, keep: list[str], *, tokenizer: str, ids: str = "id
             doc = pa.StructArray.from_arrays([rows.field(n) for n in names], names=names)
             yield pa.RecordBatch.from_arrays([doc, pa.array(texts, pa.string())], names=["doc", "decoded"])
 
-    return inner.mapInArrow(run, f"{_kept(coded, names)}, decoded string")
+    return inner.mapInArrow(tidied(run), f"{_kept(coded, names)}, decoded string")

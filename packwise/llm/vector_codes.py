@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import TwoPlaces, rows_of, smallest, staged, whole_vector
+from packwise.llm.tables import TwoPlaces, rows_of, smallest, staged, tidied, whole_vector
 from packwise.llm.voronoi_knn import matrix
 
 _SAFE = 2.0**22  # below, squared distances of up to 128 components are exact in doubles
@@ -256,9 +256,9 @@ def coded(
     rows, places = rows.select("doc", "v"), TwoPlaces(spark)
     for done in range(rounds):
         search = Search(books, groups)
-        rows = places.put(rows.mapInArrow(step(search, done == 0), f"doc struct<{kept}>, v array<double>, state binary"))
+        rows = places.put(rows.mapInArrow(tidied(step(search, done == 0)), f"doc struct<{kept}>, v array<double>, state binary"))
         sums, state = partial_sums(parts, len(first), size), search.state
-        partial = rows.select("v", "state").mapInArrow(lambda b, sums=sums, state=state: sums(b, state), "part long, entry long, place long, limb long, value long")
+        partial = rows.select("v", "state").mapInArrow(tidied(lambda b, sums=sums, state=state: sums(b, state)), "part long, entry long, place long, limb long, value long")
         total = partial.groupBy("part", "entry", "place", "limb").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
         counts, gathered = np.zeros((parts, len(first)), object), np.zeros(books[0].shape, object)
         for r in total.collect():  # entries * (components + parts) numbers
@@ -267,4 +267,4 @@ def coded(
             else:
                 gathered[r.part, r.entry, r.place] += int(r.value) * _LIMB**r.limb
         books.append(numbers(np.where(counts[:, :, None] > 0, gathered // np.maximum(counts, 1)[:, :, None], whole(books[-1])).tolist()))
-    return staged(rows.mapInArrow(last(Search(books, groups), rounds == 0), result)), books[-1]
+    return staged(rows.mapInArrow(tidied(last(Search(books, groups), rounds == 0)), result)), books[-1]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwise.llm.tables import staged
+from packwise.llm.tables import staged, tidied
 
 _RINGS = 64
 
@@ -186,7 +186,7 @@ def top_k(
             )
 
     placed = rows.withColumn("query", is_query).mapInArrow(
-        assign, "id bigint, v array<double>, query boolean, cell bigint, far double, ring bigint, length double"
+        tidied(assign), "id bigint, v array<double>, query boolean, cell bigint, far double, ring bigint, length double"
     )
     placed = staged(placed)
     data = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
@@ -222,8 +222,8 @@ def top_k(
         return run
 
     dealt = "g bigint, c bigint, s bigint, id bigint, v array<double>"
-    asked_rows = placed.where("query").select("id", "v", "cell", "ring").mapInArrow(deal(True), dealt)
-    data_rows = placed.select("id", "v", "cell", "ring").mapInArrow(deal(False), dealt)
+    asked_rows = placed.where("query").select("id", "v", "cell", "ring").mapInArrow(tidied(deal(True)), dealt)
+    data_rows = placed.select("id", "v", "cell", "ring").mapInArrow(tidied(deal(False)), dealt)
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         def dense(v: pd.Series) -> np.ndarray:
