@@ -56,7 +56,9 @@ def tune(spark: SparkSession) -> None:
     """Settings that may be changed on a running session.
 
     The JVM never compiles methods above 8000 bytes; with this limit Spark uses split methods for
-    wide projections instead of one huge interpreted one.
+    wide projections instead of one huge interpreted one. Arrow batches are bounded by bytes as well as by rows.
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # batches of long texts for Python workers: a few of them are in memory at a time, on both sides
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
