@@ -948,6 +948,9 @@ SELECT {by + ', ' if by else ''}count(*) AS total, count(*) FILTER (status = 'PA
   CAST(coalesce(sum(violation_count), 0) AS BIGINT) AS violations, coalesce({rnd(f'({c}) * 100', 1)}, 0.0) AS confidence FROM {source} {'GROUP BY ' + by if by else ''}"""
 
 
+BLOCKS["after_corrections"] = """
+SELECT * FROM (SELECT insp_no, status, confidence, len(violations) AS violation_count FROM dec_judged WHERE insp_no % 9 <> 0
+UNION ALL SELECT insp_no, status, confidence, len(violations) FROM cor_judged) WHERE insp_no % 4 <> 1"""
 BLOCKS["dated_events"] = "SELECT *, strftime(created_at, '%Y-%m-%d') AS day FROM newest_events"
 ORACLE["p5_live_kpis"] = measures_sql("dated_events", "day")
 
@@ -998,7 +1001,7 @@ ORACLE["f11_owner_rows"] = "SELECT inspection_id, user_id FROM kept WHERE user_i
 ORACLE["f12_uuid_owner"] = """
 SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN left(h, 8) || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS owner
 FROM (SELECT *, md5(CAST(c_custkey AS VARCHAR)) AS h FROM customer)"""
-ORACLE["f13_point_lookup"] = "SELECT insp_no, inspection_id, status FROM rec WHERE insp_no = 42"
+ORACLE["f13_point_lookup"] = "SELECT insp_no, inspection_id, status FROM rec WHERE insp_no = (SELECT min(insp_no) FROM rec WHERE user_no = 7)"
 ROLE = "CASE WHEN lower(trim(coalesce(raw_role, 'inspector'))) IN ('admin', 'administrator') THEN 'admin' ELSE 'inspector' END"
 ORACLE["f14_roles"] = f"SELECT user_no, {ROLE} AS role, lower(coalesce(raw_role, '')) IN ('admin', 'administrator') AS admin FROM user_profiles"
 PLACEHOLDERS = ", ".join(q(n) for n in V.PLACEHOLDER_NAMES)
@@ -1046,6 +1049,7 @@ ALIASES = ", ".join(
     }.items()
 )
 ORACLE["e3_dashboard"] = f"SELECT {ALIASES} FROM ({measures_sql('rec')})"
+ORACLE["p4_dashboard_after_corrections"] = f"SELECT {ALIASES} FROM ({measures_sql('after_corrections')})"
 ORACLE["e4_client_stats"] = """
 SELECT count(*) AS total, count(*) FILTER (status = 'PASS') AS pass, count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (status = 'REVIEW') AS review,
   CAST(count(*) FILTER (status = 'PASS') AS DOUBLE) / count(*) * 100 AS rate, CAST(sum(violation_count) AS BIGINT) AS alerts FROM rec"""

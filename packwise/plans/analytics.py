@@ -40,9 +40,41 @@ def measures(records: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+#: numbers that add up over parts of the records, and their types
+SUMS = {
+    "total": "long", "passed": "long", "failed": "long", "review": "long", "violations": "long", "confidences": "long",
+    "confidence_sum": "decimal(38,12)",
+}
+
+
+def measure_sums(records: DataFrame, by: list[str]) -> DataFrame:
+    """The parts of `measures` that can be added and taken away."""
+    made = {
+        "total": F.count(F.lit(1)), "violations": F.coalesce(F.sum("violation_count"), F.lit(0)), "confidences": F.count("confidence"),
+        "confidence_sum": F.coalesce(F.sum(F.col("confidence").cast(EXACT)), F.lit(0)),
+    } | {c: F.count_if(F.col("status") == status) for c, status in (("passed", "PASS"), ("failed", "FAIL"), ("review", "REVIEW"))}
+    return records.groupBy(*by).agg(*[made[c].cast(t).alias(c) for c, t in SUMS.items()])
+
+
+def measures_of(sums: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """`measures` from sums of parts."""
+    added = sums.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c) for c, t in SUMS.items()])
+    confidence = F.col("confidence_sum").cast("double") / F.nullif(F.col("confidences"), F.lit(0))
+    return added.select(
+        *(by or []), "total", "passed", "failed", "review",
+        F.coalesce(rounded(F.col("passed") / F.nullif(F.col("total"), F.lit(0)) * 100, 1), F.lit(0.0)).alias("rate"),
+        "violations",
+        F.coalesce(rounded(confidence * 100, 1), F.lit(0.0)).alias("confidence"),
+    )
+
+
 def dashboard(records: DataFrame) -> DataFrame:
     """One row with every published key, over all records."""
-    m = measures(records)
+    return published(measures(records))
+
+
+def published(m: DataFrame) -> DataFrame:
+    """Measures under every published key."""
     return m.select(*[F.col(measure).alias(key) for key, measure in KPI_ALIASES.items()])
 
 

@@ -19,7 +19,7 @@ from ..operators.declare import extract_fields
 from ..operators.ordering import number_within, with_lookahead
 from ..schemas import STORED, from_stored, to_stored
 from ..session import shared_folder, staged
-from ..sources import derived, store
+from ..sources import derived, store, version_log
 from ..sources.tables import table
 from ..streaming import live_kpis
 from . import accounts, analytics, inspect, report, search, uploads
@@ -662,14 +662,33 @@ def _(spark, folder):
     return out.select("insp_no", "net_quantity", "mrp", "manufacturer", "category", "is_ecommerce", "status", "score")
 
 
+def _log(spark: SparkSession, records: DataFrame, key: str, summed: bool = False) -> version_log.VersionLog:
+    return version_log.of_records(records, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", key, summed=summed)
+
+
+def _corrected(spark: SparkSession, folder: str) -> version_log.VersionLog:
+    """A log of all records as version 1 and the corrections as version 2."""
+    old = saved(spark, folder).withColumn("version", F.lit(1))
+    columns = ["insp_no", "version", "created_at", "user_no", "status", "score", "confidence", "violation_count", "net_quantity"]
+    log = _log(spark, old.select(*columns), "insp_no", summed=True)
+    changed = inspect.apply_overrides(saved(spark, folder), _overrides(spark, folder)).withColumn("version", F.lit(2))
+    log.upsert(changed.withColumn("violation_count", F.size("violations")).select(*columns))
+    return log
+
+
 @query("p4_override_and_store")
 def _(spark, folder):
-    old = saved(spark, folder)
-    columns = ["insp_no", "status", "score", "confidence", "net_quantity", "version"]
-    changed = inspect.apply_overrides(old, _overrides(spark, folder)).withColumn("version", F.lit(2))
-    return store.upserted(
-        old.withColumn("version", F.lit(1)).select(*columns), changed.select(*columns), "insp_no"
-    )
+    """Corrections are stored as new versions and read back."""
+    return _corrected(spark, folder).snapshot().select("insp_no", "status", "score", "confidence", "net_quantity", "version")
+
+
+@query("p4_dashboard_after_corrections")
+def _(spark, folder):
+    """After corrections, a deletion and a compaction, from the changes by day alone."""
+    log = _corrected(spark, folder)
+    log.delete(log.snapshot().where("insp_no % 4 = 1").select("insp_no"), None, True, ["user_no"])
+    log.compact()
+    return analytics.published(log.measures())
 
 
 @query("p5_live_kpis")
@@ -696,8 +715,9 @@ def _(spark, folder):
         F.when(again, F.lit(5)).otherwise((F.col("event_id") % 4).cast("int")).alias("violation_count"),
         F.when(again, F.lit(0.5)).otherwise((F.col("event_id") % 100).cast("double") / 100).alias("confidence"),
     )
-    live_kpis.start(stream, f"{work}/store", f"{work}/kpis", work).awaitTermination()
-    return live_kpis.read_kpis(spark, f"{work}/kpis")
+    log = version_log.VersionLog(spark, f"{work}/log", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema), summed=True)
+    live_kpis.start(stream, log, work).awaitTermination()
+    return live_kpis.read_kpis(log)
 
 
 # ------------------------------------------------------------------ store
@@ -736,24 +756,27 @@ def _latest_status(spark, folder):
 @query("s5_upsert_newest_version")
 def _(spark, folder):
     e = _latest_status(spark, folder)
-    return store.upserted(e.where("version = 1"), e.where("version = 2"), "insp_no").select(
-        "insp_no", "version", "status", "violation_count"
-    )
+    log = _log(spark, e.where("version = 1"), "insp_no")
+    log.upsert(e.where("version = 2"))
+    return log.snapshot().select("insp_no", "version", "status", "violation_count")
+
+
+def _deletable(spark: SparkSession, folder: str) -> tuple[version_log.VersionLog, DataFrame]:
+    records = saved(spark, folder).select("insp_no", F.lit(1).alias("version"), "created_at", "user_no")
+    return _log(spark, records, "insp_no"), derived.declared_records(spark, folder).where("insp_no % 2 = 0").select("insp_no")
 
 
 @query("s6_delete_owned")
 def _(spark, folder):
-    r = saved(spark, folder)
-    ids = derived.declared_records(spark, folder).where("insp_no % 2 = 0").select("insp_no")
-    left, _n = store.delete(r, ids, 7, False, ["user_no"], "insp_no")
-    return left.select("insp_no", "user_no")
+    log, ids = _deletable(spark, folder)
+    log.delete(ids, 7, False, ["user_no"])
+    return log.snapshot().select("insp_no", "user_no")
 
 
 @query("s6_deleted_count")
 def _(spark, folder):
-    r = saved(spark, folder)
-    ids = derived.declared_records(spark, folder).where("insp_no % 2 = 0").select("insp_no")
-    return store.delete(r, ids, None, True, ["user_no"], "insp_no")[1]
+    log, ids = _deletable(spark, folder)
+    return spark.createDataFrame([(log.delete(ids, None, True, ["user_no"]),)], "deleted long")
 
 
 @query("s8_required_declarations")
@@ -838,9 +861,12 @@ def _(spark, folder):
 
 @query("f13_point_lookup")
 def _(spark, folder):
+    """Account 7, no admin, asks for one record of its own and for one of another account."""
     r = saved(spark, folder)
-    wanted = (F.col("insp_no") == 42) & search.visible_to(None, False, ["user_no"])
-    return r.where(wanted).select("insp_no", "inspection_id", "status")
+    own = r.where(search.owned_by(7, "user_no")).agg(F.min("insp_no")).first()[0]
+    other = r.where("user_no <> 7").agg(F.max("insp_no")).first()[0]
+    asked = [r.where((F.col("insp_no") == i) & search.visible_to(7, False, ["user_no"])) for i in (own, other)]
+    return asked[0].unionByName(asked[1]).select("insp_no", "inspection_id", "status")
 
 
 @query("f14_roles")

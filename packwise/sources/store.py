@@ -1,19 +1,13 @@
-"""The inspection store: Parquet partitioned by month, newest version per id wins.
+"""Stored records: Parquet by month, the newest version per id, and the documents kept in records.
 
-Writes go to a fresh folder first and are then swapped in with dynamic partition
-overwrite, so a job that reads the store never overwrites what it is reading, and
-a rerun after a lost driver gives the same result.
+Changes of a store (corrections, deletions, streams) go through `version_log`.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.search import visible_to
-
 MONTH = "month"
 
 
@@ -69,48 +63,6 @@ def replace_batch(old: DataFrame, batch: DataFrame, key: str = "inspection_id")
     return batch.unionByName(old.join(batch.select(key), key, "left_anti"))
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, staging: str, key: str = "inspection_id") -> None:
-    """Merge a batch into the store, rewriting only the months it touches.
-
-    A record keeps its month: `created_at` does not change when a record is corrected.
-    """
-    batch = f"{staging}/batch-{uuid.uuid4().hex}"
-    with_month(new).write.parquet(batch)
-    incoming = spark.read.parquet(batch)
-    if not _exists(spark, path):
-        latest(incoming, key).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(path)
-        return
-    stored = spark.read.schema(incoming.schema).parquet(path)
-    affected = of_months(stored, months_of(incoming))
-    merged = f"{staging}/merged-{uuid.uuid4().hex}"
-    upserted(affected.select(*incoming.columns), incoming, key).hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(merged)
-    (
-        spark.read.schema(incoming.schema)
-        .parquet(merged)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MONTH)
-        .parquet(path)
-    )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
-def delete(
-    records: DataFrame, ids: DataFrame, requester: str | None, admin: bool, owners: list[str], key: str = "inspection_id"
-) -> tuple[DataFrame, DataFrame]:
-    """Records without the requested ids the requester may delete, and the number deleted."""
-    allowed = records.where(visible_to(requester, admin, owners)).join(ids, key, "left_semi").select(key)
-    return (
-        records.join(allowed, key, "left_anti"),
-        allowed.agg(F.count(F.lit(1)).alias("deleted")),
-    )
-
-
 def normalized(stored: DataFrame) -> DataFrame:
     """Fill image lists from the visual checks or the single addresses, and the owner from the legacy column."""
     v = F.col("visual_checks")

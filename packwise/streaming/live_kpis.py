@@ -1,52 +1,35 @@
 """Dashboard numbers kept up to date from a stream of finished inspections.
 
-Counting a stream by status would count a re-submitted inspection twice.  Here every
-micro-batch is merged into the store (newest version per id), and the daily numbers of
-the months it touched are computed again from the store.
+Counting a stream by status would count a re-submitted inspection twice.  Here every micro-batch is one commit of the version
+log: it finds the last version of the ids it brings and keeps by how much the numbers of each day change. The numbers are
+the sum of these changes; no month is read or written again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.analytics import measures
-from ..sources import store
+from ..sources.version_log import VersionLog
 
 
-def start(stream: DataFrame, store_path: str, kpi_path: str, work_path: str) -> StreamingQuery:
-    """Run over everything available; `work_path` holds the checkpoint and staged batches.
+def start(stream: DataFrame, log: VersionLog, work_path: str, name: str = "live") -> StreamingQuery:
+    """Run over everything available; `work_path` holds the checkpoint.
 
-    Merging is idempotent, so repeated deliveries do no harm and late corrections count.
+    A micro-batch that is repeated after a failure has the same number and is taken once. Re-deliveries of a version
+    change nothing, late corrections count.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.persist()
-        try:
-            if batch.isEmpty():
-                return
-            store.upsert(spark, store_path, batch, f"{work_path}/staging")
-            dated = store.with_month(batch)
-            current = store.of_months(spark.read.schema(dated.schema).parquet(store_path), store.months_of(dated))
-            kpis = measures(current.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), [store.MONTH, "day"])
-            (
-                kpis.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(store.MONTH)
-                .parquet(kpi_path)
-            )
-        finally:
-            batch.unpersist()
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        log.upsert(batch, source=f"{name}-{batch_id}")
 
     return (
-        stream.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(commit)
         .option("checkpointLocation", f"{work_path}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_kpis(spark: SparkSession, kpi_path: str) -> DataFrame:
-    return spark.read.parquet(kpi_path).drop(store.MONTH)
+def read_kpis(log: VersionLog) -> DataFrame:
+    return log.measures(["day"])

@@ -2,12 +2,13 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from packwise.operators.tokens import telemetry
 from packwise.plans import search
 from packwise.plans.analytics import measures, percentage
-from packwise.sources import store
+from packwise.sources import store, version_log
 from packwise.streaming import live_kpis
 
 SCHEMA = "inspection_id string, version int, created_at timestamp, status string, violation_count int, confidence double"
@@ -17,39 +18,81 @@ def _rows(version, status, numbers):
     return [(f"I{i}", version, dt.datetime(2024, 1 + i % 3, 1 + i % 20), status, i % 4, 0.5) for i in numbers]
 
 
-def test_upsert_keeps_the_newest_and_is_idempotent(spark, tmp_path):
-    path, work = str(tmp_path / "store"), str(tmp_path / "work")
-    store.upsert(spark, path, spark.createDataFrame(_rows(1, "PASS", range(40)), SCHEMA), work)
-    again = spark.createDataFrame(_rows(2, "FAIL", range(0, 40, 3)) + _rows(1, "REVIEW", [41]), SCHEMA)
-    for _ in range(2):
-        store.upsert(spark, path, again, work)
-        got = {r["inspection_id"]: r["status"] for r in store.scan(spark, path).collect()}
-        assert len(got) == 41 == store.scan(spark, path).count()
-        assert got["I3"] == "FAIL" and got["I4"] == "PASS" and got["I41"] == "REVIEW"
+def _log(spark, path):
+    return version_log.VersionLog(spark, str(path), SCHEMA, summed=True)
+
 
+def _state(log):
+    return {r.inspection_id: (r.version, r.status) for r in log.snapshot().collect()}
 
-def test_delete_needs_the_owner(spark):
-    df = spark.createDataFrame([("a", "u1"), ("b", "u2"), ("c", "u1")], "inspection_id string, user_id string")
-    ids = df.where("inspection_id <> 'c'").select("inspection_id")
-    left, count = store.delete(df, ids, "u1", False, ["user_id"])
-    assert sorted(r[0] for r in left.collect()) == ["b", "c"]
-    assert count.collect()[0][0] == 1
-    assert store.delete(df, ids, "u1", True, ["user_id"])[1].collect()[0][0] == 2
+
+def _numbers_agree(log):
+    want = measures(log.snapshot().withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), ["day"])
+    got = log.measures(["day"]).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    source = str(tmp_path / "in")
+    """Several micro-batches, re-submissions in later ones, a repeated delivery, and a restart in between."""
+    source, work, log = str(tmp_path / "in"), str(tmp_path / "work"), _log(spark, tmp_path / "log")
     parts = [_rows(1, "PASS", range(30)), _rows(2, "FAIL", range(0, 30, 4)), _rows(1, "REVIEW", range(25, 35))]
-    for rows in parts:
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    live_kpis.start(stream, str(tmp_path / "store"), str(tmp_path / "kpis"), str(tmp_path / "work")).awaitTermination()
-    got = live_kpis.read_kpis(spark, str(tmp_path / "kpis"))
-    stored = store.scan(spark, str(tmp_path / "store"))
-    assert stored.count() == stored.select("inspection_id").distinct().count() == 35
-    want = measures(stored.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), ["day"])
-    key = lambda r: r["day"]
-    assert sorted(got.select(*want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    for run in (parts[:2], parts[2:], [_rows(2, "FAIL", range(0, 30, 4)), _rows(3, "PASS", [4])]):
+        for rows in run:
+            spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        live_kpis.start(stream, log, work).awaitTermination()
+        _numbers_agree(log)
+    assert len([c for c in log.commits() if c.source]) == 5
+    state = _state(log)
+    assert len(state) == 35 and state["I4"] == (3, "PASS") and state["I8"] == (2, "FAIL") and state["I1"] == (1, "PASS")
+    assert live_kpis.read_kpis(log).agg(F.sum("total")).first()[0] == 35
+
+
+def test_log_keeps_every_write_and_reads_one_state(spark, tmp_path):
+    log = _log(spark, tmp_path / "log")
+    assert log.snapshot().count() == 0 and log.measures().first().total == 0
+    log.upsert(spark.createDataFrame(_rows(1, "PASS", range(40)), SCHEMA))
+    moved = [(i, v, d.replace(month=7), s, n, c) for i, v, d, s, n, c in _rows(2, "FAIL", range(0, 40, 3))]
+    log.upsert(spark.createDataFrame(moved + _rows(1, "REVIEW", [41]), SCHEMA))  # a new date moves no row and leaves none behind
+    state = _state(log)
+    assert len(state) == 41 == log.snapshot().count() and state["I3"] == (2, "FAIL") and state["I41"] == (1, "REVIEW")
+    _numbers_agree(log)
+    before = log.snapshot()  # a reader that has begun
+    log.compact()
+    assert len(log.live()) == 1 and _state(log) == state and {r.inspection_id for r in before.collect()} == set(state)
+    log.upsert(spark.createDataFrame(_rows(1, "REVIEW", [3, 50]), SCHEMA))  # an old version comes late
+    assert _state(log) == state | {"I50": (1, "REVIEW")}
+    _numbers_agree(log)
+    assert log.upsert(before.limit(1).drop("month"), source="a") and not log.upsert(before.limit(1).drop("month"), source="a")
+
+
+def test_a_write_that_is_not_published_is_not_read(spark, tmp_path):
+    log = _log(spark, tmp_path / "log")
+    log.upsert(spark.createDataFrame(_rows(1, "PASS", range(5)), SCHEMA))
+    log._publish = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    for write in (lambda: log.upsert(spark.createDataFrame(_rows(2, "FAIL", range(5)), SCHEMA)), lambda: log.delete(log.snapshot(), None, True, [])):
+        with pytest.raises(RuntimeError):
+            write()
+    assert set(_state(_log(spark, tmp_path / "log")).values()) == {(1, "PASS")}
+    _numbers_agree(_log(spark, tmp_path / "log"))
+
+
+def test_deleted_records_are_gone_and_stay_so(spark, tmp_path):
+    schema = SCHEMA + ", user_id string"
+    rows = [(*r, f"u{i % 2}") for i, r in enumerate(_rows(1, "PASS", range(20)))]
+    log = version_log.VersionLog(spark, str(tmp_path / "log"), schema, summed=True)
+    log.upsert(spark.createDataFrame(rows, schema))
+    ids = log.snapshot().where("inspection_id in ('I2', 'I3', 'I4')").select("inspection_id")
+    assert log.delete(ids, "u9", False, ["user_id"]) == 0 and len(log.commits()) == 1
+    assert log.delete(ids, "u0", False, ["user_id"]) == 2
+    for _ in range(2):
+        assert set(_state(log)) == {f"I{i}" for i in range(20)} - {"I2", "I4"}
+        assert search.page(log.snapshot(), 1, 20).count() == 18 and log.measures().first().total == 18
+        _numbers_agree(log)
+        log.compact()
+    log.upsert(spark.createDataFrame([r for r in rows if r[0] in ("I0", "I4")], schema).withColumn("version", F.expr("if(inspection_id = 'I0', 0, 2)")))
+    assert _state(log)["I4"] == (2, "PASS") and _state(log)["I0"] == (1, "PASS") and "I2" not in _state(log)
+    _numbers_agree(log)
 
 
 def _plan(df):
