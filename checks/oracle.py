@@ -569,15 +569,10 @@ FROM (SELECT *, max(y_max) OVER (PARTITION BY insp_no, panel_no ORDER BY y_min R
 ORACLE["w3_row_groups"] = (
     "SELECT insp_no, panel_no, seq, CAST(band AS BIGINT) AS band, dense_rank() OVER (PARTITION BY insp_no, panel_no, band ORDER BY grp) AS grp FROM raw_strips"
 )
-BLOCKS["printed_split"] = split_sql(f"(SELECT * FROM tokens WHERE NOT {VERTICAL})", "line_no", "seq")
-ORACLE["w4_column_split"] = "SELECT insp_no, panel_no, seq, CAST(sub AS BIGINT) AS sub FROM printed_split"
-ORACLE["e14_line_rollup"] = f"""
-SELECT insp_no, panel_no, line_no, trim(string_agg(text, ' ' ORDER BY x_min, seq)) AS text, {rnd(exact_mean('confidence'), 4)} AS confidence,
-  min(x_min) AS x_min, min(y_min) AS y_min, max(x_max) AS x_max, max(y_max) AS y_max, count(*) AS token_count FROM tokens GROUP BY 1, 2, 3"""
+ORACLE["w4_column_split"] = "SELECT insp_no, panel_no, seq, CAST(sub AS BIGINT) AS sub FROM raw_split"
+ORACLE["e14_line_rollup"] = "SELECT insp_no, panel_no, text, confidence, x_min, y_min, x_max, y_max, token_count FROM raw_flat"
 ORACLE["w5_line_order"] = "SELECT insp_no, panel_no, line_no, text, y_min FROM raw_lines"
-ORACLE["u2_horizontal_and_vertical_lines"] = f"""
-SELECT insp_no, 'row' AS kind, count(*) AS lines FROM (SELECT DISTINCT insp_no, panel_no, line_no FROM tokens WHERE NOT {VERTICAL}) GROUP BY 1
-UNION ALL SELECT insp_no, 'side', count(*) FROM tokens WHERE {VERTICAL} GROUP BY 1"""
+ORACLE["u2_horizontal_and_vertical_lines"] = "SELECT insp_no, panel_no, text, confidence, x_min, y_min, x_max, y_max, token_count FROM raw_lines"
 ORACLE["w6_normalize"] = "SELECT * FROM kept_lines"
 ORACLE["e10_recognition_telemetry"] = f"""
 SELECT insp_no, panel_no, coalesce(token_count, 0) AS token_count, coalesce(mean_confidence, 1.0) AS mean_confidence
@@ -663,9 +658,14 @@ ORACLE["f24_visual_checks"] = "SELECT * FROM visuals"
 ORACLE["e13_median_region_height"] = (
     "SELECT insp_no, panel_no, list(height ORDER BY height)[count(*) // 2 + 1] AS median_height, count(*) AS region_count FROM regions GROUP BY 1, 2"
 )
+BLOCKS["stored_boxes"] = f"""
+SELECT insp_no, panel_no, x, y, width, height, {NORMAL},
+  row_number() OVER (PARTITION BY insp_no, panel_no ORDER BY y, x, width, height) - 1 AS pos, count(*) OVER (PARTITION BY insp_no, panel_no) AS n
+FROM regions WHERE {GOOD_BOX}"""
 ORACLE["s7_visual_documents"] = f"""
-SELECT insp_no, panel_no, v.placement AS placement, coalesce(n, 0) AS region_count FROM visuals v JOIN panel_metrics USING (insp_no, panel_no)
-LEFT JOIN (SELECT insp_no, panel_no, count(*) AS n FROM regions JOIN panel_metrics USING (insp_no, panel_no) WHERE {GOOD_BOX} GROUP BY 1, 2) USING (insp_no, panel_no)"""
+SELECT insp_no, panel_no, v.readability AS readability, v.font_height AS font_height, v.placement AS placement, v.dpi AS dpi, sharpness, contrast,
+  image_width, image_height, coalesce(n, 0) AS region_count, pos, y, x, width, height, x_normalized, y_normalized, width_normalized, height_normalized
+FROM visuals v JOIN panel_metrics USING (insp_no, panel_no) LEFT JOIN stored_boxes USING (insp_no, panel_no)"""
 BLOCKS["first_visuals"] = """
 SELECT insp_no, v.readability AS readability, v.font_height AS font_height,
   CASE WHEN n > 1 THEN 'Multi-panel (' || n || ' panels analyzed: Front, Back & Information Panels)' ELSE v.placement END AS placement, v.dpi AS dpi, n AS panel_count

@@ -27,6 +27,7 @@ from . import accounts, analytics, inspect, report, search, uploads
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KEYS = ["insp_no", "panel_no"]
+BOX = ["y", "x", "width", "height", "x_normalized", "y_normalized", "width_normalized", "height_normalized"]  # in the order of stored boxes
 
 
 def query(name: str):
@@ -328,20 +329,14 @@ def _(spark, folder):
 
 @query("w4_column_split")
 def _(spark, folder):
-    # printed lines are taken as the row groups
     t = derived.tokens(spark, folder).where(~token_ops.is_vertical())
-    rows = t.withColumn("band", F.col("line_no")).withColumn("grp", F.lit(1)).withColumn("ord", F.col("seq"))
-    return line_ops.split_columns(rows).select(*KEYS, "seq", F.col("sub").cast("long").alias("sub"))
+    return line_ops.split_columns(line_ops.group_rows(t)).select(*KEYS, "seq", F.col("sub").cast("long").alias("sub"))
 
 
 @query("e14_line_rollup")
 def _(spark, folder):
-    t = derived.tokens(spark, folder)
-    rows = t.withColumn("band", F.col("line_no")).withColumn("grp", F.lit(1)).withColumn("ord", F.col("seq")).withColumn(
-        "sub", F.lit(0)
-    )
-    out = line_ops.roll_up(rows)
-    return out.select(*KEYS, F.col("band").alias("line_no"), *line_ops.LINE)
+    t = derived.tokens(spark, folder).where(~token_ops.is_vertical())
+    return line_ops.roll_up(line_ops.split_columns(line_ops.group_rows(t))).select(*KEYS, *line_ops.LINE)
 
 
 @query("w5_line_order")
@@ -352,10 +347,9 @@ def _(spark, folder):
 
 @query("u2_horizontal_and_vertical_lines")
 def _(spark, folder):
-    t = derived.tokens(spark, folder).withColumn("upright", token_ops.is_vertical())
-    flat = t.where("not upright").select(*KEYS, "line_no").distinct().select(*KEYS, F.lit("row").alias("kind"))
-    side = t.where("upright").select(*KEYS, F.lit("side").alias("kind"))
-    return flat.unionByName(side).groupBy("insp_no", "kind").agg(F.count(F.lit(1)).alias("lines"))
+    """All lines of the panels: those of rows and columns, and side-bars."""
+    lines = line_ops.reconstruct(derived.tokens(spark, folder))
+    return lines.select(*KEYS, *line_ops.LINE)
 
 
 @query("w6_normalize")
@@ -504,10 +498,17 @@ def _(spark, folder):
     path = f"{shared_folder(spark)}/visual-{uuid.uuid4().hex}"
     docs.write.json(path)
     back = spark.read.schema("insp_no bigint, panel_no bigint, summary string, detail string").json(path)
-    return back.select(
-        *KEYS,
-        F.get_json_object("summary", "$.visual_checks.placement").alias("placement"),
-        F.get_json_object("detail", "$.placement.region_count").cast("long").alias("region_count"),
+    summary = F.from_json("summary", "visual_checks struct<readability:string,font_height:double,placement:string,dpi:double>")["visual_checks"]
+    box = ",".join(f"{c}:{'double' if c.endswith('normalized') else 'int'}" for c in BOX)
+    detail = F.from_json(
+        "detail",
+        f"readability struct<sharpness:double,contrast:double>, dpi double, placement struct<image_width:int,image_height:int,region_count:bigint,regions:array<struct<{box}>>>",
+    )
+    read = back.select(*KEYS, summary.alias("s"), detail.alias("d")).select(*KEYS, "s", "d", F.posexplode_outer("d.placement.regions").alias("pos", "r"))
+    return read.select(
+        *KEYS, "s.readability", "s.font_height", "s.placement", "s.dpi", F.col("d.readability.sharpness").alias("sharpness"), F.col("d.readability.contrast").alias("contrast"),
+        F.col("d.placement.image_width").alias("image_width"), F.col("d.placement.image_height").alias("image_height"),
+        F.col("d.placement.region_count").alias("region_count"), "pos", *[F.col(f"r.{c}").alias(c) for c in BOX],
     )
 
 
@@ -781,11 +782,13 @@ def _(spark, folder):
 
 @query("s8_required_declarations")
 def _(spark, folder):
-    """Missing required fields by the catalogue."""
+    """Missing required fields by the catalogue, which is read from its JSON document."""
     r = derived.declared_records(spark, folder)
     names = [d[0] for d in V.DECLARATIONS]
     long = r.select("insp_no", *names).unpivot("insp_no", names, "field", "value")
-    catalogue = store.declarations_catalogue(spark).where("required")
+    path = f"{shared_folder(spark)}/declarations-{uuid.uuid4().hex}"
+    store.declarations_document(spark).coalesce(1).write.json(path)
+    catalogue = store.load_declarations(spark, path).where("required")
     return (
         long.where(~text_fn.declared(F.col("value"))).join(F.broadcast(catalogue), "field")
         .groupBy("field", "label").agg(F.count(F.lit(1)).alias("missing"))

@@ -142,6 +142,12 @@ def declarations_catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(V.DECLARATIONS, "field string, label string, required boolean, format_hint string")
 
 
+def declarations_document(spark: SparkSession) -> DataFrame:
+    """The catalogue as the one JSON document it is kept in."""
+    fields = F.collect_list(F.struct("field", "label", "required", "format_hint"))
+    return declarations_catalogue(spark).agg(fields.alias("declarations"))
+
+
 def load_declarations(spark: SparkSession, path: str) -> DataFrame:
     """The same catalogue from a JSON file with a `declarations` list."""
     schema = "rules_source string, declarations array<struct<field:string,label:string,required:boolean,format_hint:string>>"
