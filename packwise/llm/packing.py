@@ -37,7 +37,7 @@ class WordIds(dict):
     more than `most_bytes`.
     Words that end in marks share the ids of their first part, and ASCII words those of their lower-case form."""
 
-    def __init__(self, path: str, most_bytes: int = 64 << 20):
+    def __init__(self, path: str, most_bytes: int = 160 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
