@@ -110,20 +110,47 @@ def needs_recovery(panels: DataFrame, tokens: DataFrame, keys: list[str] | None
     )
 
 
+def _cut(boxes: DataFrame, keys: list[str], low: Column, high: Column, name: str, touching: bool = False) -> DataFrame:
+    """Add `name`, the lower end of the run of overlapping intervals (low, high) a row lies in, within its keys.
+
+    One pass over the rows in the order of `low`; it sorts, and spills if need be, but collects nothing. Intervals that
+    only touch are one run if `touching`.
+    """
+    rows = boxes.withColumn("__low", low).withColumn("__high", high)
+    along = Window.partitionBy(*keys).orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max("__high").over(along)
+    apart = F.col("__low") > reach if touching else F.col("__low") >= reach
+    starts = rows.withColumn("__start", F.when(reach.isNull() | apart, F.col("__low")))
+    upto = Window.partitionBy(*keys).orderBy("__low").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.withColumn(name, F.max("__start").over(upto)).drop("__low", "__high", "__start")
+
+
 def with_bands(boxes: DataFrame, keys: list[str]) -> DataFrame:
     """Add `band`, the top of the horizontal strip a box lies in.
 
     Strips of one panel do not overlap each other vertically, so boxes of different
-    strips never interact.  Box tops are whole pixels: they are reduced to one row per
-    panel and top first, which is at most the image height, however many boxes there are.
+    strips never interact.  The rows are exchanged by panel once; what groups by panel
+    and band afterwards needs no further exchange.
+    """
+    return _cut(boxes, keys, F.col("y_min"), F.col("y_max"), "band")
+
+
+BLOCK = ["__b1", "__b2", "__b3"]
+
+
+def with_blocks(boxes: DataFrame, keys: list[str], min_iou: float) -> DataFrame:
+    """Add the columns of BLOCK: boxes of different blocks overlap by less than `min_iou`.
+
+    Two boxes of at least that overlap share at least `min_iou` of the longer side in each direction, so they still meet
+    when `min_iou / 2` of its side is taken off every box at each end. The shrunk boxes of a panel are cut at clean
+    gaps: into strips, strips into columns, columns into strips again. A tall side-bar beside the text, or rows whose
+    boxes overlap a little, keep nothing together; usually a block is one word as the two passes saw it.
     """
-    tops = boxes.groupBy(*keys, "y_min").agg(F.max("y_max").alias("__low"))
-    above = Window.partitionBy(*keys).orderBy("y_min").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy("y_min").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.max("__low").over(above)
-    starts = tops.withColumn("__start", F.when(reach.isNull() | (F.col("y_min") >= reach), F.col("y_min")))
-    strips = starts.select(*keys, "y_min", F.max("__start").over(upto).alias("band"))
-    return boxes.join(strips, [*keys, "y_min"], "inner")
+    off = min_iou / 2 - 1e-9  # a little less: rounding must not part boxes that just meet
+    y, x = [(F.col(f"{c}_min"), F.col(f"{c}_max"), (F.col(f"{c}_max") - F.col(f"{c}_min")) * off) for c in "yx"]
+    for (low, high, less), name in zip((y, x, y), BLOCK, strict=True):
+        boxes, keys = _cut(boxes, keys, low + less, high - less, name, touching=True), [*keys, name]
+    return boxes
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -149,15 +176,18 @@ def merge_passes(
 
     Every second-pass token, in order, either meets the token it overlaps most in the
     set so far (and replaces it when clearly surer or longer) or joins the set.  The
-    order matters only inside one strip, so the fold runs per strip.  The result keeps
+    order matters only among boxes that may meet, so the fold runs per block (with_blocks);
+    a block of n second-pass tokens costs n times its size.  The result keeps
     the place of replaced tokens: `source` 1 and the first pass's `seq`, then added
     tokens with `source` 2.
     """
     keys = keys or KEYS
+    if min_iou <= 0:
+        raise ValueError("the overlap must be positive")
     both = first.select(*keys, F.lit(1).alias("source"), "seq", *TOKEN).unionByName(
         second.select(*keys, F.lit(2).alias("source"), "seq", *TOKEN)
     )
-    strips = with_bands(both, keys).groupBy(*keys, "band").agg(
+    blocks = with_blocks(both, keys, min_iou).groupBy(*keys, *BLOCK).agg(
         F.array_sort(F.collect_list(F.struct("source", "seq", *TOKEN))).alias("all")
     )
 
@@ -190,7 +220,7 @@ def merge_passes(
     merged = F.aggregate(
         F.filter("all", lambda t: t["source"] == 2), F.filter("all", lambda t: t["source"] == 1), step
     )
-    return strips.select(*keys, F.inline(merged))
+    return blocks.select(*keys, F.inline(merged))
 
 
 def in_zone(field: str, image_width: Column, image_height: Column) -> Column:

@@ -117,3 +117,57 @@ def test_token_cleaning(spark):
     df = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, text string")
     got = {r["i"]: r["text"] for r in tokens.with_clean_text(df).collect()}
     assert [got[i] for i in range(len(given))] == want
+
+
+def _one_large_panel(rows: int = 1000, words: int = 5):
+    """Rows of words with a tall side-bar beside them, which is as high as the panel."""
+    boxes = [(1, 1, 0, "side", 0.9, 2000, 0, 2030, 24 * rows)]
+    for r in range(rows):
+        for w in range(words):
+            y = 24 * r + (w * 7 + r) % 5
+            boxes.append((1, 1, 1 + r * words + w, "ab" * (1 + w), 0.6, 10 + 120 * w, y, 110 + 120 * w, y + 22))
+    return boxes
+
+
+def test_a_panel_of_5000_tokens_with_a_side_bar(spark):
+    first, rnd = _one_large_panel(), random.Random(5)
+    second = [(i, p, s, t + "zzzz" * (s % 2), rnd.randrange(40, 100) / 100, x + 2, y + rnd.randrange(3), x2 + 2, y2)
+              for i, p, s, t, c, x, y, x2, y2 in first if s % 3] + [(1, 1, 9000, "new", 0.5, 900, 40, 960, 60)]
+    a, b = spark.createDataFrame(first, TOKEN_SCHEMA), spark.createDataFrame(second, TOKEN_SCHEMA)
+    both = a.withColumn("pass", F.lit(1)).unionByName(b.withColumn("pass", F.lit(2)))
+    largest = tokens.with_blocks(both, ["panel_no"], 0.40).groupBy("panel_no", *tokens.BLOCK).count().agg(F.max("count")).first()[0]
+    assert largest <= 4
+    got = {(r["source"], r["seq"]): (r["text"], r["confidence"], r["x_min"]) for r in tokens.merge_passes(a, b).collect()}
+    want = {(1, t[2]): (t[3], t[4], t[5]) for t in first}
+    for t in second:
+        old = want.get((1, t[2]))
+        if old is None:
+            want[2, t[2]] = (t[3], t[4], t[5])
+        elif t[4] > old[1] + 0.10 or len(t[3]) > len(old[0]) + 3:
+            want[1, t[2]] = (t[3], t[4], t[5])
+    assert got == want
+
+
+def test_row_groups_of_one_strip_of_thousands(spark):
+    """Every row touches the next, so the panel is one strip; groups are retired on the way."""
+    rnd = random.Random(6)
+    rows = [(1, 1, n, "w", 0.9, rnd.randrange(900), 9 * n // 4, 1000, 9 * n // 4 + rnd.randrange(12, 30)) for n in range(3000)]
+    found = lines.group_rows(spark.createDataFrame(rows, TOKEN_SCHEMA)).collect()
+    assert len({r["band"] for r in found}) == 1
+    got = {}
+    for r in found:
+        got.setdefault(r["grp"], set()).add(r["seq"])
+    assert {frozenset(v) for v in got.values()} == _rows_by_loop(rows) and len(got) > 100
+
+
+def test_block_cuts_part_no_boxes_that_meet(spark):
+    """Random boxes of every shape: all pairs of at least the wanted overlap share a block."""
+    rows = [r for seed in (11, 12, 13) for r in _boxes(seed, panels=4, most=30)]
+    rows = [(i, p, n, *rest) for n, (i, p, _, *rest) in enumerate(rows)]
+    for least in (0.25, 0.40, 0.9):
+        df = tokens.with_blocks(spark.createDataFrame(rows, TOKEN_SCHEMA), ["panel_no"], least)
+        block = {r["seq"]: (r["panel_no"], *[r[b] for b in tokens.BLOCK]) for r in df.collect()}
+        for a in rows:
+            for b in rows:
+                if a[1] == b[1] and _iou(a, b) >= least:
+                    assert block[a[2]] == block[b[2]]
