@@ -17,8 +17,8 @@ answer.
 
 Defined cases: vectors that are null, empty of values, or hold null or non-finite components take no part; shorter vectors
 count as if zeros followed; equal scores go to the smaller id; the query's own row (by id) is no candidate; fewer than k
-candidates are all returned; ids may repeat: each row is a candidate of other ids, and the pairs of all query rows of one
-id are ranked together, as in the SQL. Scaled components are whole doubles of any size; products that could leave 64 bits
+candidates are all returned; ids may repeat: each row is a candidate of other ids, and each query row has ranks of its
+own; rows without an id take no part. Scaled components are whole doubles of any size; products that could leave 64 bits
 are computed exactly, and an answer whose score leaves them raises an error, as does a finite component that is no longer
 finite after scaling.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwise.llm.tables import staged, tidied
+from packwise.llm.tables import smallest, staged, tidied
 
 _RINGS = 64
 
@@ -133,7 +133,7 @@ def plan_groups(pivots: np.ndarray, data: list, queries: list, k: int, chunk: in
 
 
 def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the k best rows for each query, without the query's own."""
+    """(place of the query, id, score) of the k best rows for each query, without the rows of the query's id."""
     top = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1])
     if not top < 2.0**63:  # whole numbers without a greatest size
         whole = np.frompyfunc(int, 1, 1)
@@ -156,7 +156,7 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
         ok = ok[:k]
         if exact and any(not -(2**63) <= v < 2**63 for v in s[ok]):
             raise OverflowError("inner products leave 64 bits")
-        out[0].append(np.full(len(ok), own))
+        out[0].append(np.full(len(ok), i))
         out[1].append(ids[ok])
         out[2].append(s[ok].astype(np.int64))
     return tuple(np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
@@ -166,11 +166,11 @@ def top_k(
     vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024, pivots: int = 64,
     pivot_sample: int = 4096, chunk: int = 1024, block: int = 4096,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k pairs of highest integer inner product for each query id. is_query is an
+    """query_id, rank, vec_id, score: the k pairs of highest integer inner product for each query row. is_query is an
     expression over `id`."""
     rows = staged(integer_vectors(vectors, vec_id, vector, scale))
     dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(pivot_sample).select("v").collect() if dims else []
+    sample = smallest(rows, [F.xxhash64("id", "v"), "id"], pivot_sample).select("v").collect() if dims else []
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     if not sample:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -182,11 +182,11 @@ def top_k(
             cell, far = nearest(x, centres)
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(cell), pa.array(far), pa.array(ring_of(far)), pa.array(np.linalg.norm(x, axis=1))],
-                names=["id", "v", "query", "cell", "far", "ring", "length"],
+                names=["id", "v", "query", "uid", "cell", "far", "ring", "length"],
             )
 
-    placed = rows.withColumn("query", is_query).mapInArrow(
-        tidied(assign), "id bigint, v array<double>, query boolean, cell bigint, far double, ring bigint, length double"
+    placed = rows.withColumn("query", is_query).withColumn("uid", F.monotonically_increasing_id()).mapInArrow(
+        tidied(assign), "id bigint, v array<double>, query boolean, uid bigint, cell bigint, far double, ring bigint, length double"
     )
     placed = staged(placed)
     data = placed.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
@@ -214,25 +214,26 @@ def top_k(
                             g.append(at)
                             c.append(fixed if as_query else free)
                             s.append(free if as_query else fixed)
-                taken = b.select(["id", "v"]).take(pa.array(row, pa.int64()))
+                taken = b.select(["id", "v", "uid"]).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64()), *taken.columns], names=["g", "c", "s", "id", "v"]
+                    [pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64()), *taken.columns], names=["g", "c", "s", "id", "v", "uid"]
                 )
 
         return run
 
-    dealt = "g bigint, c bigint, s bigint, id bigint, v array<double>"
-    asked_rows = placed.where("query").select("id", "v", "cell", "ring").mapInArrow(tidied(deal(True)), dealt)
-    data_rows = placed.select("id", "v", "cell", "ring").mapInArrow(tidied(deal(False)), dealt)
+    dealt = "g bigint, c bigint, s bigint, id bigint, v array<double>, uid bigint"
+    asked_rows = placed.where("query").select("id", "v", "cell", "ring", "uid").mapInArrow(tidied(deal(True)), dealt)
+    data_rows = placed.select("id", "v", "cell", "ring", "uid").mapInArrow(tidied(deal(False)), dealt)
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         def dense(v: pd.Series) -> np.ndarray:
             return matrix(pa.array(list(v), pa.list_(pa.float64())), dims)
 
         found = best_of(q["id"].to_numpy(), dense(q["v"]), x["id"].to_numpy(), dense(x["v"]), k) if len(q) and len(x) else [np.empty(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
+        uid, query_id = q["uid"].to_numpy(np.int64)[found[0]], q["id"].to_numpy(np.int64)[found[0]]
+        return pd.DataFrame({"uid": uid, "query_id": query_id, "vec_id": found[1], "score": found[2]})
 
     keys = ("g", "c", "s")
-    parts = asked_rows.groupBy(*keys).cogroup(data_rows.groupBy(*keys)).applyInPandas(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = asked_rows.groupBy(*keys).cogroup(data_rows.groupBy(*keys)).applyInPandas(solve, "uid long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

@@ -75,8 +75,8 @@ def test_rows_with_the_own_id_and_large_vectors(spark):
         x for x in _brute(near + far + large, 5, lambda i: i == 1) if x[2]
     }
     assert {52, 50} <= {r.vec_id for r in got}
-    got = voronoi_knn.top_k(frame, F.col("id") == 0, k=3, pivots=8, scale=1).collect()
-    assert {r.vec_id for r in got} == {52}  # eight rows of one id are ranked together, as in the SQL
+    got = sorted((r["rank"], r.vec_id) for r in voronoi_knn.top_k(frame, F.col("id") == 0, k=3, pivots=8, scale=1).collect())
+    assert got == [(rank, vec) for rank, vec in ((1, 52), (2, 50), (3, 1)) for _ in range(8)]  # each of the eight rows has its answers
     small = spark.createDataFrame(near + far, "vec_id long, embedding array<double>")
     got = voronoi_knn.top_k(small.where("vec_id <> 0").union(small.where("vec_id = 0").limit(1)), F.col("id") == 0, k=3, pivots=8).collect()
     assert sorted(r.vec_id for r in got) == [1, 2, 3]
