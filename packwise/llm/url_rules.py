@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from packwise.llm.tables import ascii_lower
+from packwise.llm.tables import ascii_lower, smallest
 
 EDGE = "/"  # ends the host part of a key; no host holds it
 
@@ -73,7 +73,7 @@ def _block_of(key: Column, salt: Column, cuts: list[tuple[str, int]]) -> Column:
 def sweep(points: DataFrame, rules: DataFrame, blocks: int, cut_sample: int = 20_000) -> DataFrame:
     """points (key, salt, ...) with `rule`: the innermost rule whose interval contains the key, or null."""
     stacks = _stacks(rules)
-    sample = points.select("key", "salt").orderBy(F.xxhash64("key", "salt")).limit(cut_sample).collect()
+    sample = smallest(points.select("key", "salt"), [F.xxhash64("key", "salt"), "key", "salt"], cut_sample).collect()
     ordered = sorted({(r.key.encode(), r.salt, r.key) for r in sample})
     cuts = sorted({(ordered[i * len(ordered) // blocks][2], ordered[i * len(ordered) // blocks][1]) for i in range(1, blocks)} if ordered else set(), key=lambda c: (c[0].encode(), c[1]))
 
