@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwise.llm.tables import annotated, tidied
+from packwise.llm.tables import annotated, smallest, tidied
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -311,17 +311,19 @@ def _example(text: str, gold: list[tuple[str, int, int]]) -> list:
     return out
 
 
-def train(docs: DataFrame, text: str, sample: int = 400, most_chars: int = 20_000) -> Field:
-    """Fit on the `sample` texts with digits or @ that have the smallest hash (ties by text), each cut to a window of
-    `most_chars` characters: a bounded sample for learning only; searching covers whole texts."""
-    chosen = docs.where(F.col(text).rlike("[0-9]{2}|@")).select(F.substring(text, 1, most_chars).alias("t"))
-    rows = chosen.orderBy(F.xxhash64("t"), "t").limit(sample).collect()
+def train(docs: DataFrame, text: str, sample: int = 400, most_chars: int = 20_000, altered: int = 20) -> Field:
+    """Fit on the `sample` texts with digits or @ that have the smallest hash (ties by text), of longer texts a window of `most_chars`
+    characters at a place drawn by the hash, and of each text `altered` drawn spans in altered form: a bounded sample for learning
+    only; searching covers whole texts."""
+    given = docs.where(F.col(text).rlike("[0-9]{2}|@")).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    place = F.pmod(F.shiftright("h", 16), F.greatest(F.length("t") - most_chars + 1, F.lit(1)).cast("long")).cast("int")
+    rows = smallest(given.select("h", F.substring("t", place + 1, F.lit(most_chars)).alias("t")), ["h", "t"], sample).collect()
     rng, examples = np.random.default_rng(3), []
     for t in [r.t for r in rows] + _PLAIN * 4:
         spans = base_spans(t)
         gold = [(k, a, b) for k, own in spans.items() for a, b in own]
         examples += _example(t, gold)
-        for kind, a, b in gold[:20]:
+        for kind, a, b in [gold[i] for i in rng.permutation(len(gold))[:altered]]:
             forms = _ALTERED[kind](t[a:b])
             form = forms[int(rng.integers(len(forms)))]
             before, after = t[max(0, a - 40) : a], t[b : b + 40]
