@@ -151,7 +151,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 
 @query
 def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = licences.known_digests(spark.createDataFrame(licences.NOTICES, "licence string, text string"))
+    known = licences.known_digests(spark.createDataFrame(licences.known_texts(), "licence string, text string"))
     found = licences.scanned(read(spark, sf_dir, "documents"), ["doc_id"], known)
     return found.select("doc.doc_id", "digest", "licence", F.array_join("notices", ",").alias("notices"))
 
@@ -168,14 +168,16 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_NOTICE_ROWS = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.NOTICES)
+_NOTICE_ROWS = ", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licences.known_texts())
 SQL["op6_licence_digests"] = f"""
 WITH known AS (
   SELECT sha256({_sql_canonical("text")}) AS digest, min(licence) AS licence FROM (VALUES {_NOTICE_ROWS}) v(licence, text) GROUP BY 1
 ), forms AS (
   SELECT doc_id, text, sha256({_sql_canonical("text")}) AS digest FROM documents
 ), lines AS (
-  SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents
+  UNION
+  SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), {_quoted(licences.BLANK_LINES)})) FROM documents
 ), hits AS (
   SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
   FROM (SELECT doc_id, sha256({_sql_canonical("line")}) AS digest FROM lines) l JOIN known USING (digest) GROUP BY 1

@@ -19,6 +19,28 @@ def test_forms_and_odd_rows(spark):
     assert licences.scanned(docs, ["doc_id"], known.limit(0)).where("licence is not null or size(notices) > 0").count() == 0
 
 
+def test_whole_licence_texts_in_altered_form(spark):
+    known = licences.known_digests(spark.createDataFrame(licences.known_texts(), "licence string, text string"))
+    rows = []
+    for name, text in licences.TEXTS:
+        titled = text.split("\n\n", 1)[1]
+        forms = [
+            text, text.upper().replace("2020", "1999-2024"), text.replace(",", " ").replace('"', "'").replace("\n\n", "\r\n\r\n"),
+            text.replace("License", "Licence"), text.replace("HOLDER", "OWNER").replace("Copyright (c) 2020", "(c) 2011 Someone\nCopyright 2013"),
+            *([] if name == "Apache-2.0" else [titled]),  # its first paragraph is no title but a copyright line
+        ]
+        rows += [(name, form, True) for form in forms]
+        rows += [(name, "prose before\n\n" + text + "\n\nprose after", False), (name, text + " one word more", None)]
+    docs = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "doc_id long, name string, text string, whole boolean")
+    for r in licences.scanned(docs, ["name", "whole"], known).collect():
+        if r.doc.whole:
+            assert r.licence == r.doc.name
+        else:
+            assert r.licence is None
+        if r.doc.whole is False and r.doc.name not in ("0BSD", "BSD-2-Clause"):  # all their paragraphs but one short one stand in others too
+            assert r.doc.name in r.notices
+
+
 def test_query_equals_sql(spark):
     from checks.compare import connect, rows_of
     from packwise.llm.queries import QUERIES, SQL
