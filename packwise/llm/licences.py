@@ -13,6 +13,10 @@ one (a property of the known texts) cannot match and are not hashed; an empty ta
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,20 +142,38 @@ def digest(form: Column) -> Column:
 
 
 def known_digests(known: DataFrame, name: str = "licence", text: str = "text") -> DataFrame:
-    """(digest, licence, size of the canonical form) of known texts."""
+    """(digest, licence, size of the canonical form, its words that stand in a text as they are) of known texts."""
     forms = known.select(F.col(name).alias("licence"), canonical(F.col(text)).alias("form")).where("form <> ''")
-    return forms.groupBy(digest(F.col("form")).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("form")).alias("size"))
+    made = {w for _, now in SPELLINGS for w in now.split()}
+    kept = F.filter(F.array_distinct(F.split("form", " ")), lambda w: w.rlike("^[a-z]{4,}$") & ~w.isin(*made))
+    return forms.groupBy(digest(F.col("form")).alias("digest")).agg(F.min("licence").alias("licence"), F.max(F.length("form")).alias("size"), F.first(kept).alias("words"))
+
+
+def anchors(forms: list[list[str]]) -> list[str] | None:
+    """A few words of which every known form has one; None if a form has no word to choose from."""
+    left, chosen = [set(words) for words in forms], []
+    if not all(left):
+        return None
+    while left:
+        counts = Counter(w for words in left for w in words)
+        chosen.append(min(counts, key=lambda w: (-counts[w], -len(w), w)))
+        left = [words for words in left if chosen[-1] not in words]
+    return chosen
 
 
 def scanned(docs: DataFrame, keep: list[str], known: DataFrame, *, text: str = "text") -> DataFrame:
     """`doc` (columns in keep), digest of the whole text's form, licence (of the whole text, or null), and notices: the
     sorted distinct licences of its lines and blocks."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*keep).alias("doc"), F.col(text).alias("text__"))
-    longest = known.agg(F.max("size")).first()[0] or 0
-    given = F.coalesce("text__", F.lit(""))
+    listed = known.select("size", "words").collect()  # the known texts
+    longest, some = max((r["size"] for r in listed), default=0), anchors([r.words for r in listed])
+    given = F.lower(F.coalesce("text__", F.lit("")))  # a form is the same whether made of the text or of its lower case
     lines = F.array_distinct(F.concat(F.split(given, "\n"), F.split(given, BLANK_LINES)))
     marked = rows.select("uid", "doc", digest(canonical(F.col("text__"))).alias("digest"), lines.alias("lines"))
-    line = marked.select("uid", F.explode("lines").alias("line")).select("uid", canonical(F.col("line")).alias("form"))
+    line = marked.select("uid", F.explode("lines").alias("line"))
+    if some is not None:  # a line or block without any of these words has no known form
+        line = line.where(reduce(or_, [F.contains(F.col("line"), F.lit(w)) for w in some], F.lit(False)))
+    line = line.select("uid", canonical(F.col("line")).alias("form"))
     line = line.where((F.col("form") != "") & (F.length("form") <= longest)).select("uid", digest(F.col("form")).alias("line_digest"))
     table = known.select(F.col("digest").alias("known_digest"), F.col("licence").alias("known_licence"))
     hits = line.join(table, F.col("line_digest") == F.col("known_digest")).groupBy("uid").agg(F.array_sort(F.collect_set("known_licence")).alias("found"))
