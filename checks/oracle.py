@@ -424,6 +424,17 @@ nums = lst(["900.00", "910.10", "925.55", "999.90"])
 ORACLE["x14_fuzzy_number"] = f"""
 SELECT price, CASE WHEN b.d <= 1 THEN b.w ELSE price END AS matched FROM (SELECT price, list_min(list_transform({nums},
   lambda w, i: {{'d': levenshtein(price, w), 'i': i, 'w': w}})) AS b FROM (SELECT DISTINCT CAST(price AS VARCHAR) AS price FROM panels))"""
+ORACLE["x13_vocabulary_table"] = """
+WITH asked AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM benchmark),
+known AS (SELECT DISTINCT unnest(regexp_extract_all(html, '[A-Za-z]+')) AS w FROM pages),
+near AS (SELECT word, w, levenshtein(upper(word), upper(w)) AS d FROM asked JOIN known ON abs(length(word) - length(w)) <= 1 WHERE length(word) >= 2),
+best AS (SELECT word, arg_min(w, (d, w)) AS w FROM near WHERE d <= 1 GROUP BY word)
+SELECT word, coalesce(CASE WHEN word = lower(word) THEN lower(w) ELSE w END, word) AS matched FROM asked LEFT JOIN best USING (word)"""
+ORACLE["x14_vocabulary_table"] = """
+WITH asked AS (SELECT DISTINCT CAST(c_acctbal AS VARCHAR) AS value FROM customer),
+known AS (SELECT DISTINCT CAST(s_acctbal AS VARCHAR) AS w FROM supplier),
+best AS (SELECT value, arg_min(w, (levenshtein(value, w), w)) AS w FROM asked JOIN known ON levenshtein(value, w) <= 1 GROUP BY value)
+SELECT value, coalesce(w, value) AS matched FROM asked LEFT JOIN best USING (value)"""
 ORACLE["x15_all_fields_of_raw_text"] = "SELECT * FROM doc_fields"
 ORACLE["x15_all_fields_of_labels"] = "SELECT * FROM lab_repaired"
 ORACLE["x16_missing_critical_fields"] = (

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import fuzzy, text as text_fn, units, urls
-from ..operators import compliance, declare, lines as line_ops, panels as panel_ops, rules, tokens as token_ops, visual
+from ..operators import compliance, declare, lines as line_ops, panels as panel_ops, rules, tokens as token_ops, visual, vocabulary
 from ..operators.declare import extract_fields
 from ..operators.ordering import number_within, with_lookahead
 from ..schemas import STORED, from_stored, to_stored
@@ -205,6 +205,25 @@ def _(spark, folder):
     )
 
 
+def _letters(rows, column: str):
+    return rows.select(F.explode(F.regexp_extract_all(column, F.lit("([A-Za-z]+)"), F.lit(1))).alias("word")).distinct()
+
+
+@query("x13_vocabulary_table")
+def _(spark, folder):
+    """Words of the benchmark items, repaired by the vocabulary of all pages."""
+    asked, known = _letters(table(spark, folder, "benchmark"), "text"), _letters(table(spark, folder, "pages"), "html")
+    return vocabulary.match_words(asked, known, limit=1).select("word", "matched")
+
+
+@query("x14_vocabulary_table")
+def _(spark, folder):
+    """Account balances, matched with those of the suppliers."""
+    asked = table(spark, folder, "customer").select(F.col("c_acctbal").cast("string").alias("value")).distinct()
+    known = table(spark, folder, "supplier").select(F.col("s_acctbal").cast("string").alias("value")).distinct()
+    return vocabulary.match_numbers(asked, known, limit=1).select("value", "matched")
+
+
 @query("x15_all_fields_of_raw_text")
 def _(spark, folder):
     docs = declare.lines_of_text(table(spark, folder, "documents"), ["doc_id"], "text")
