@@ -1008,6 +1008,11 @@ ORACLE["f9_name_or_id_search"] = (
 ORACLE["f10_history_search"] = (
     "SELECT insp_no, product_name, status FROM rec WHERE status = 'FAIL' AND contains(lower(inspection_id || ' ' || coalesce(product_name, '') || ' ' || coalesce(CAST(user_no AS VARCHAR), '')), 'product 3')"
 )
+ORACLE["f9_indexed_wildcard_search"] = " UNION ALL ".join(
+    f"SELECT '{p}' AS search, insp_no, product_name FROM rec WHERE product_name ILIKE '%{p}%'" for p in ("duct_1", "prod%t 12", "9_")
+)
+ORACLE["f9_indexed_name_or_id_search"] = ORACLE["f9_name_or_id_search"]
+ORACLE["f10_indexed_history_search"] = ORACLE["f10_history_search"]
 ORACLE["f11_owner_rows"] = "SELECT inspection_id, user_id FROM kept WHERE user_id = '7' OR inspector_id = '7'"
 ORACLE["f12_uuid_owner"] = """
 SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN left(h, 8) || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] END AS owner

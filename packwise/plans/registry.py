@@ -19,7 +19,7 @@ from ..operators.declare import extract_fields
 from ..operators.ordering import number_within, with_lookahead
 from ..schemas import STORED, from_stored, to_stored
 from ..session import shared_folder, staged
-from ..sources import derived, store, version_log
+from ..sources import derived, store, text_index, version_log
 from ..sources.tables import table
 from ..streaming import live_kpis
 from . import accounts, analytics, inspect, report, search, uploads
@@ -865,6 +865,31 @@ def _(spark, folder):
     return saved(spark, folder).where(search.history("Product 3", "FAIL")).select("insp_no", "product_name", "status")
 
 
+def _indexed(spark, folder, *texts):
+    """A trigram index over the stored records; searches read only the blocks it names."""
+    path = f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}"
+    return text_index.build(saved(spark, folder), list(texts), path, ["product_name", "inspection_id"])
+
+
+@query("f9_indexed_wildcard_search")
+def _(spark, folder):
+    built = _indexed(spark, folder, F.col("product_name"))
+    found = [built.like(F.col("product_name"), f"%{p}%").select(F.lit(p).alias("search"), "insp_no", "product_name") for p in ("duct_1", "prod%t 12", "9_")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("f9_indexed_name_or_id_search")
+def _(spark, folder):
+    texts = [F.col("product_name"), F.col("inspection_id")]
+    return _indexed(spark, folder, *texts).containing(texts, "CT 1").select("insp_no", "product_name")
+
+
+@query("f10_indexed_history_search")
+def _(spark, folder):
+    built = _indexed(spark, folder, search.history_text())
+    return built.candidates(["Product 3"]).where(search.history("Product 3", "FAIL")).select("insp_no", "product_name", "status")
+
+
 @query("f11_owner_rows")
 def _(spark, folder):
     s = stored(spark, folder)

@@ -52,16 +52,18 @@ def name_or_id_contains(search: str | None) -> Column:
     return F.lower(F.coalesce("product_name", F.lit(""))).contains(s) | F.lower("inspection_id").contains(s)
 
 
+def history_text() -> Column:
+    return F.concat_ws(
+        " ",
+        F.col("inspection_id"),
+        F.coalesce("product_name", F.lit("")),
+        F.coalesce(F.col("user_no").cast("string"), F.lit("")),
+    )
+
+
 def history(search: str, status_tab: str = "ALL") -> Column:
     """History page: one text of id, name and owner, plus a status tab."""
-    text = F.lower(
-        F.concat_ws(
-            " ",
-            F.col("inspection_id"),
-            F.coalesce("product_name", F.lit("")),
-            F.coalesce(F.col("user_no").cast("string"), F.lit("")),
-        )
-    )
+    text = F.lower(history_text())
     tab = F.lit(True) if status_tab == "ALL" else F.col("status") == status_tab
     return text.contains(search.lower()) & tab
 
