@@ -916,6 +916,24 @@ def _(spark, folder):
     return asked[0].unionByName(asked[1]).select("insp_no", "inspection_id", "status")
 
 
+@query("f13_lookup_in_log")
+def _(spark, folder):
+    """After a correction and a deletion, account 7 and an administrator ask for the same four records: one of account 7 as
+    it was, one corrected, one deleted, and one of another account."""
+    r = saved(spark, folder).select("inspection_id", "insp_no", "user_no", "created_at", "status", F.lit(1).alias("version"))
+    log = version_log.of_records(r, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", "inspection_id")
+    own = r.where("user_no = 7").orderBy("insp_no").limit(3).select("inspection_id").collect()
+    other = r.where("user_no <> 7").orderBy("insp_no").limit(1).select("inspection_id").collect()
+    asked = [row[0] for row in own + other]
+    log.upsert(r.where(F.col("inspection_id").isin(asked[1:2])).withColumn("status", F.lit("PASS")).withColumn("version", F.lit(2)))
+    log.delete(r.where(F.col("inspection_id").isin(asked[2:3])), 7, False, ["user_no"])
+    answers = [
+        log.lookup(asked, requester, admin, ["user_no"]).select(F.lit(by).alias("asked_by"), "insp_no", "inspection_id", "status", "version")
+        for by, requester, admin in (("owner", 7, False), ("administrator", 1, True))
+    ]
+    return answers[0].unionByName(answers[1])
+
+
 @query("f14_roles")
 def _(spark, folder):
     p = derived.profiles(spark, folder)

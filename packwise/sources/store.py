@@ -26,6 +26,13 @@ def of_months(records: DataFrame, months: list[str | None]) -> DataFrame:
     return records.where(chosen | F.col(MONTH).isNull() if None in months else chosen)
 
 
+def findable(key: str) -> dict[str, str]:
+    """Options of a write whose row groups say which keys they hold, by a Bloom filter sized to what is written: ids are hashes, so
+    least and largest values skip nothing. A look-up by id then reads the row groups that may have it."""
+    name = f"parquet.bloom.filter.enabled#{key}"
+    return {name: "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.max.bytes": str(4 << 20)}
+
+
 def append(records: DataFrame, path: str) -> None:
     """Rows of a month go to few files; the rebalance splits months that are too large for one task.
 
@@ -33,7 +40,8 @@ def append(records: DataFrame, path: str) -> None:
     """
     dated = with_month(records).hint("rebalance", MONTH)
     order = [c for c in ("user_id", "user_no", "created_at") if c in records.columns]
-    dated.sortWithinPartitions(MONTH, *order).write.mode("append").partitionBy(MONTH).parquet(path)
+    writer = dated.sortWithinPartitions(MONTH, *order).write.mode("append").partitionBy(MONTH)
+    writer.options(**findable("inspection_id")).parquet(path)
 
 
 def scan(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..plans.analytics import SUMS, measure_sums, measures_of
 from ..plans.search import visible_to
-from .store import MONTH, latest, with_month
+from .store import MONTH, findable, latest, with_month
 
 MANIFEST = "commit long, folder string, base boolean, replaces array<string>, source string"
 COMMIT, GONE, FOLDER = "log__commit", "log__gone", "log__folder"
@@ -91,9 +91,16 @@ class VersionLog:
     def _write(self, rows: DataFrame, folder: str) -> DataFrame:
         dated = with_month(rows.select(*self.columns, COMMIT, GONE)).hint("rebalance", MONTH)
         order = [c for c in ("user_id", "user_no", "created_at") if c in self.columns]
-        dated.sortWithinPartitions(MONTH, *order).write.partitionBy(MONTH).parquet(f"{self.path}/data/{FOLDER}={folder}")
+        writer = dated.sortWithinPartitions(MONTH, *order).write.partitionBy(MONTH).options(**findable(self.key))
+        writer.parquet(f"{self.path}/data/{FOLDER}={folder}")
         return self._read([folder])
 
+    def lookup(self, ids: list, requester: str | int | None, admin: bool, owners: list[str]) -> DataFrame:
+        """The records with these ids that the requester may see, as they stand. The ids reach the scans of all folders, whose
+        row groups are skipped by Bloom filter; versions are compared among what is left."""
+        rows = self._rows(self.live()).where(F.col(self.key).isin(ids))
+        return self._newest(rows).where(~F.col(GONE) & visible_to(requester, admin, owners)).select(*self.columns, MONTH)
+
     # ---------------------------------------------------------------- changes
     def _numbers(self, rows: DataFrame) -> DataFrame:
         return measure_sums(rows.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")), ["day"])

@@ -12,6 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 SOME = [
     "x2_net_quantity", "x12_numeric_repair", "r9_unit_price", "e3_dashboard", "e8_violation_buckets", "w7_page",
     "f17_upload_admission", "f31_trusted_urls", "j4_profile_upsert", "s5_upsert_newest_version", "s9_declaration_audit",
+    "x14_vocabulary_table", "f9_indexed_wildcard_search", "f10_indexed_history_search", "f13_lookup_in_log",
 ]
 
 

@@ -126,3 +126,42 @@ def test_telemetry_keeps_empty_panels(spark):
     panels = spark.createDataFrame([(1, 1), (1, 2)], "insp_no long, panel_no long")
     tokens = spark.createDataFrame([(1, 1, 0.5), (1, 1, 1.0)], "insp_no long, panel_no long, confidence double")
     assert sorted(map(tuple, telemetry(panels, tokens).collect())) == [(1, 1, 2, 0.75), (1, 2, 0, 1.0)]
+
+
+def _rows_read(df) -> int:
+    """Rows that the scans of a plan gave, after row groups were skipped."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), 0
+    waiting = [plan]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            waiting.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            waiting.append(node.plan())
+        children = node.children()
+        waiting.extend(children.apply(i) for i in range(children.length()))
+    return found
+
+
+def test_lookup_by_id_skips_row_groups_and_keeps_to_the_owner(spark, tmp_path):
+    schema = "inspection_id string, version int, created_at timestamp, user_no long, status string"
+    rows = spark.range(60_000).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("inspection_id"), F.lit(1).alias("version"),
+        F.make_timestamp(F.lit(2024), (F.col("id") % 6 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("created_at"), (F.col("id") % 9).alias("user_no"), F.lit("FAIL").alias("status"),
+    )
+    log = version_log.VersionLog(spark, str(tmp_path / "log"), schema)
+    log.upsert(rows)
+    ids = [r.inspection_id for r in rows.where("id in (7, 16, 25, 8)").orderBy((F.col("id") == 8), "created_at").collect()]
+    mine, other = ids[:3], ids[3]
+    assert {r.inspection_id for r in log.lookup(ids, 7, False, ["user_no"]).collect()} == set(mine)
+    assert log.lookup(ids, 1, True, ["user_no"]).count() == 4 and log.lookup([other], 7, False, ["user_no"]).count() == 0
+    log.upsert(rows.where(F.col("inspection_id") == mine[0]).withColumn("version", F.lit(2)).withColumn("status", F.lit("PASS")))
+    assert log.delete(rows.where(F.col("inspection_id") == mine[1]), 7, False, ["user_no"]) == 1
+    left = {r.inspection_id: r.status for r in log.lookup(ids, 7, False, ["user_no"]).collect()}
+    assert left == {mine[0]: "PASS", mine[2]: "FAIL"}
+    absent = "8" * 64  # between the least and the largest id of every file
+    assert log.lookup([absent], 1, True, []).count() == 0 and _rows_read(log.lookup([absent], 1, True, [])) == 0
+    assert 0 < _rows_read(log.lookup([mine[2]], 1, True, [])) <= 10_000
