@@ -190,7 +190,25 @@ FROM forms f LEFT JOIN known k ON f.digest = k.digest LEFT JOIN hits h ON f.doc_
 @query
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
-    return records.select("page_id", "type", "record_id", "refers_to", "uri", "date", "content_type", "block", "block_digest", "source_digest", "content_length")
+    return records.select("page_id", "type", "record_id", "refers_to", "uri", "date", "content_type", "block", "block_digest", "source_digest", "source_payload_digest", "content_length")
+
+
+@query
+def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of the pages as they stand in a file: responses and their derivatives."""
+    sources = warc.responses(read(spark, sf_dir, "pages"))
+    return warc.serialized(sources).unionByName(warc.serialized(warc.derivatives(sources)))
+
+
+def _sql_resolved(text: str) -> str:
+    for name, char in warc.REFERENCES:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(char)})"
+    code = "CASE WHEN len(d) <= 7 THEN TRY_CAST((CASE WHEN n[1] IN ('x', 'X') THEN '0x' ELSE '' END) || d AS INTEGER) END"
+    coded = f"list_transform(list_transform(regexp_extract_all({text}, '{warc.NUMERIC}', 1), lambda n: {{'n': n, 'd': regexp_replace(n, '^[xX]?0*', '')}}), lambda s: {code.replace('n[1]', 's.n[1]').replace('(d)', '(s.d)').replace('|| d', '|| s.d')})"
+    chars = f"list_transform({coded}, lambda c: CASE WHEN c = 38 THEN '&amp;' WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN chr(c) ELSE chr(65533) END)"
+    parts = f"string_split_regex({text}, '{warc.NUMERIC.replace('(', '(?:')}')"
+    joined = f"array_to_string(list_transform(list_zip({parts}, {chars}), lambda z: z[1] || coalesce(z[2], '')), '')"
+    return f"replace(CASE WHEN contains({text}, '&#') THEN {joined} ELSE {text} END, '&amp;', '&')"
 
 
 def _sql_text(html: str) -> str:
@@ -198,8 +216,7 @@ def _sql_text(html: str) -> str:
     for pattern in warc.DROPPED:
         text = f"regexp_replace({text}, {_quoted(pattern)}, ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, {_quoted(warc.LINE_TAGS)}, chr(10), 'g'), {_quoted(warc.OTHER_TAGS)}, '', 'g')"
-    for name, char in warc.REFERENCES:
-        text = f"replace({text}, {_quoted(name)}, {_quoted(char)})"
+    text = _sql_resolved(text)
     text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
     text = rf"regexp_replace(regexp_replace({text}, ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g')"
     return rf"regexp_replace({text}, '^[ \n]+|[ \n]+$', '', 'g')"
@@ -219,19 +236,29 @@ WITH source AS (
   SELECT *, {_sql_uuid("key")} AS refers_to, 'sha256:' || sha256(html) AS source_digest FROM source
 ), blocks AS (
   SELECT *, 'metadata' AS type, 'application/warc-fields' AS content_type,
-    'title: ' || trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) || chr(13) || chr(10)
+    'title: ' || trim(regexp_replace({_sql_resolved("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)").replace("<title[", r"<title\b[")}, '\s+', ' ', 'g')) || chr(13) || chr(10)
     || 'language: ' || regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || chr(13) || chr(10)
+    || 'charset: ' || lower(regexp_extract(html, {_quoted(warc.CHARSET)}, 1)) || chr(13) || chr(10)
     || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref="([^"]*)"', 1)) || chr(13) || chr(10)
-    || 'source-digest: ' || source_digest || chr(13) || chr(10) AS block FROM named
+    || 'source-digest: ' || source_digest || chr(13) || chr(10) || 'source-payload-digest: ' || source_digest || chr(13) || chr(10) AS block FROM named
   UNION ALL
   SELECT *, 'conversion', 'text/plain; charset=utf-8', {_sql_text("html")} FROM named
 ), keyed AS (
   SELECT *, sha256(concat_ws(chr(10), type, refers_to)) AS own_key FROM blocks
 )
 SELECT page_id, type, {_sql_uuid("own_key")} AS record_id, refers_to, uri, '{warc.DATE}' AS date, content_type, block,
-       'sha256:' || sha256(block) AS block_digest, source_digest, CAST(strlen(block) AS BIGINT) AS content_length
+       'sha256:' || sha256(block) AS block_digest, source_digest, source_digest AS source_payload_digest, CAST(strlen(block) AS BIGINT) AS content_length
 FROM keyed
 """
+_HEAD = """
+SELECT page_id, type, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: ' || type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: ' || date, {refers}
+  'WARC-Target-URI: ' || uri, 'WARC-Block-Digest: ' || block_digest, 'Content-Type: ' || content_type, 'Content-Length: ' || strlen(block), '', block, '', '') AS record
+FROM ({of})"""
+SQL["warc_records"] = _HEAD.format(refers="'WARC-Refers-To: ' || refers_to,", of=SQL["op9_warc_derivatives"]) + "\nUNION ALL" + _HEAD.format(refers="", of=f"""
+  SELECT *, {_sql_uuid("key")} AS record_id FROM (
+    SELECT page_id, 'response' AS type, '{warc.DATE}' AS date, 'text/html' AS content_type, coalesce(url, '') AS uri, coalesce(html, '') AS block,
+      'sha256:' || sha256(coalesce(html, '')) AS block_digest,
+      sha256(concat_ws(chr(10), 'response', coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), coalesce(html, ''))) AS key FROM pages)""")
 
 
 @query
