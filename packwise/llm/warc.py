@@ -43,22 +43,30 @@ def _character(number: Column) -> Column:
     return F.when(code == 38, F.lit("&amp;")).when(sound, made).otherwise(F.lit("\ufffd"))
 
 
-def resolved(text: Column) -> Column:
-    """Character references resolved once: what a resolved one forms with its neighbours is no reference."""
+def named(text: Column) -> Column:
+    """Named character references resolved, but for the ampersand."""
     for name, char in REFERENCES:
         text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def numbered(text: Column) -> Column:
+    """Numeric references and then the ampersand resolved; after `named`, each is resolved once: what a resolved one forms with its
+    neighbours is no reference. The text is used several times: a column that is there already, no long expression."""
     between = F.split(text, NUMERIC, -1)
     chars = F.concat(F.transform(F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(1)), _character), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, chars, lambda part, char: F.concat(part, char)), "")
     return F.replace(F.when(F.contains(text, F.lit("&#")), joined).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
-def plain_text(html: Column) -> Column:
+def without_tags(html: Column) -> Column:
     text = F.coalesce(html, F.lit(""))
     for pattern in DROPPED:
         text = F.regexp_replace(text, pattern, " ")
-    text = F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n"), OTHER_TAGS, "")
-    text = resolved(text)
+    return F.regexp_replace(F.regexp_replace(text, LINE_TAGS, "\n"), OTHER_TAGS, "")
+
+
+def tidy(text: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n+", "\n"), r"^[ \n]+|[ \n]+$", "")
 
@@ -95,12 +103,12 @@ def responses(
 
 def derivatives(sources: DataFrame) -> DataFrame:
     """Two records for each response: metadata and conversion, linked to it, with the digests of its block and payload."""
-    text = plain_text(F.col("payload"))
-    title = F.trim(F.regexp_replace(resolved(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title", 1)), r"\s+", " "))
+    title = F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title", 1)
     language = F.regexp_extract("payload", r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1)
     charset = F.lower(F.regexp_extract("payload", CHARSET, 1))
     links = F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*\bhref=\"([^\"]*)\""), 1))
-    made = sources.select("*", text.alias("plain"), title.alias("title"), language.alias("language"), charset.alias("charset"), links.alias("links"))
+    found = sources.select("*", named(without_tags(F.col("payload"))).alias("plain"), named(title).alias("title"), language.alias("language"), charset.alias("charset"), links.alias("links"))
+    made = found.withColumns({"plain": tidy(numbered(F.col("plain"))), "title": F.trim(F.regexp_replace(numbered(F.col("title")), r"\s+", " "))})
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))

@@ -51,7 +51,7 @@ def test_references_are_resolved_once(spark):
         "&#39;&#x41;&#X1f600;&#0228;": "'A\U0001f600ä", "&#0;&#xD800;&#1114112;&#99999999999;&#x110000;": "\ufffd" * 5, "&amp;#39;": "&#39;", "&#38;lt;": "&lt;", "&#38;amp;": "&amp;",
         "&amp;lt;": "&lt;", "&copy;&middot;&unknown;&#;&#x;&#12": "©·&unknown;&#;&#x;&#12", "": "", "&#0000000000000000065;": "A", "a&#66;" * 20_000: "aB" * 20_000,
     }
-    rows = spark.createDataFrame(list(cases.items()), "text string, want string").select("want", warc.resolved(F.col("text")).alias("got"))
+    rows = spark.createDataFrame(list(cases.items()), "text string, want string").select("want", warc.numbered(warc.named(F.col("text"))).alias("got"))
     assert all(r.got == r.want for r in rows.collect())
     sound = "&lt;&#60;&#x3c;&copy;&middot;&quot;&amp;&#8364;&#x20AC;"
-    assert spark.createDataFrame([(sound,)], "t string").select(warc.resolved(F.col("t"))).first()[0] == python_html.unescape(sound)
+    assert spark.createDataFrame([(sound,)], "t string").select(warc.numbered(warc.named(F.col("t")))).first()[0] == python_html.unescape(sound)
