@@ -44,7 +44,7 @@ class WordIds(dict):
         self.encode, self.most_bytes, self.held = Tokenizer.from_file(path).encode, most_bytes, 0
 
     def __missing__(self, word: str) -> bytes:
-        parts = _WITH_MARKS.fullmatch(word)
+        parts = None if word.isalnum() else _WITH_MARKS.fullmatch(word)
         if parts:
             ids = self[parts[1]] + self[parts[2]]
         elif word.isascii() and word != (low := word.lower()):
